@@ -27,8 +27,19 @@ def first_rule(rules) -> Column:
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
-    without = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.floor(without / F.length(needle))
+    without = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    return F.floor(without / F.octet_length(needle))
+
+
+def occurs_at_least(text: Column, needle: Column, n: int) -> Column:
+    """True when a non-empty needle occurs n times without overlap.
+
+    Cutting the text at the n-th occurrence, overlapping or not, is cheap and settles most
+    rows; only where it succeeds are the occurrences counted.
+    """
+    cut = F.call_function("substring_index", text, needle, F.lit(n))
+    possible = F.octet_length(cut) < F.octet_length(text)
+    return F.when(possible, occurrences(text, needle) >= n).otherwise(F.lit(False))
 
 
 def quoted(literal: Column) -> Column:

@@ -75,11 +75,11 @@ def dwell_from_pulses(
 def dwell_sessions(pulses: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
     """Views that end after `idle` seconds without a pulse; works on a table and a stream.
 
-    A session ends `idle` seconds after its last pulse, so the idle time is counted.
+    `ts` is a timestamp with time zone, as watermarks need. A session ends `idle` seconds
+    after its last pulse, so the idle time is counted.
     """
-    timed = pulses.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
-        timed.groupBy(
+        pulses.groupBy(
             "user_id", "paper_id", F.session_window("ts", f"{idle} seconds").alias("view")
         )
         .agg(F.count("*").alias("pulses"))

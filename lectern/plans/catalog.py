@@ -809,7 +809,7 @@ def alert_match(g):
     wanted = g.profiles.select(
         "id", F.col("id").alias("user_id"),
         F.expr("CASE id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'author' ELSE 'journal' END").alias("alert_type"),
-        F.expr("""CASE id % 3 WHEN 0 THEN coalesce(keywords[0], 'psa') WHEN 1
+        F.expr("""CASE id % 3 WHEN 0 THEN coalesce(get(keywords, 0), 'psa') WHEN 1
                   THEN concat('LAB ', CAST(id % 97 AS STRING)) ELSE concat('Urology', CASE WHEN id % 2 = 0
                   THEN ' Focus' ELSE '' END) END""").alias("value"),
         (F.col("c_acctbal") >= 0).alias("is_active"),

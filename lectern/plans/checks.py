@@ -60,7 +60,7 @@ check("article_metadata", f"SELECT pmid, mesh_terms, pub_types, abstract FROM ({
 
 _RULE_TEXT = """
   SELECT id, lower(title) AS low_title, concat(lower(title), ' ', lower(abstract)) AS words,
-    lower(array_to_string(pub_types, ' ')) AS types, list_transform(pub_types, t -> lower(t)) AS low_types,
+    lower(array_to_string(pub_types, ' ')) AS types, list_transform(pub_types, lambda t: lower(t)) AS low_types,
     pub_types FROM papers"""
 
 _PAPER_TYPE = _case(
@@ -143,7 +143,7 @@ def _dictionary(source: str) -> dict:
   SELECT id, arg_min(p.kind, p.place) AS kind FROM ({texts}) t JOIN priority p USING (kind) GROUP BY id""",
         "typed": """
   SELECT d.id, coalesce(by_term.kind, by_text.kind,
-    CASE WHEN list_contains(list_transform(d.pub_types, t -> lower(t)), 'review') THEN 'review' END,
+    CASE WHEN list_contains(list_transform(d.pub_types, lambda t: lower(t)), 'review') THEN 'review' END,
     'other') AS study_type
   FROM described d LEFT JOIN by_term ON by_term.id = d.id LEFT JOIN by_text ON by_text.id = d.id""",
         "tagged": """
@@ -200,9 +200,9 @@ GROUP BY paper_id, term, weight""",
     words="""
   SELECT paper_id, weight, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
     SELECT id AS paper_id, 'A' AS weight,
-      list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), x -> x <> '') AS w FROM papers
+      list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM papers
     UNION ALL SELECT id, 'B',
-      list_filter(regexp_split_to_array(lower(abstract), '[^a-z0-9]+'), x -> x <> '') FROM papers) t""",
+      list_filter(regexp_split_to_array(lower(abstract), '[^a-z0-9]+'), lambda x: x <> '') FROM papers) t""",
 )
 check(
     "recent_pool",
@@ -335,7 +335,7 @@ check(
     "soft_delete",
     """
 SELECT p.id, CASE WHEN c_acctbal < 0 THEN '[DELETED]' ELSE name END AS name, institution,
-  CASE WHEN c_acctbal < 0 THEN '' ELSE k.keywords END AS keywords,
+  CASE WHEN c_acctbal < 0 THEN '' ELSE coalesce(k.keywords, '') END AS keywords,
   CASE WHEN c_acctbal < 0 THEN '' ELSE array_to_string(preferred_journals, '; ') END AS preferred_journals,
   CASE WHEN c_acctbal < 0 THEN false ELSE email_digest END AS email_digest
 FROM profiles p LEFT JOIN (
@@ -511,14 +511,14 @@ _SCORING = {
   LEFT JOIN dwell_journal_part dj USING (user_id, paper_id)""",
     "likes": "SELECT user_id, paper_id FROM feedbacks WHERE action = 'like'",
     "like_counts": "SELECT user_id, count(*) AS n FROM likes GROUP BY user_id",
-    "similar": """
+    "alike": """
   SELECT u, v, (shared * 2000000000 + (a.n + b.n - shared)) // (2 * (a.n + b.n - shared)) AS sim
   FROM (SELECT x.user_id AS u, y.user_id AS v, count(*) AS shared FROM likes x
         JOIN likes y ON y.paper_id = x.paper_id AND y.user_id <> x.user_id GROUP BY ALL) p
   JOIN like_counts a ON a.user_id = u JOIN like_counts b ON b.user_id = v""",
     "peer_part": """
   SELECT u AS user_id, l.paper_id, least(CAST(sum(sim) AS BIGINT), 1000000000) / 1e9 AS collaborative
-  FROM similar JOIN likes l ON l.user_id = v
+  FROM alike JOIN likes l ON l.user_id = v
   WHERE NOT EXISTS (SELECT 1 FROM likes m WHERE m.user_id = u AND m.paper_id = l.paper_id)
   GROUP BY u, l.paper_id""",
     "seen": "SELECT user_id, paper_id FROM feedbacks UNION SELECT user_id, paper_id FROM late_reads",
@@ -580,7 +580,7 @@ check(
     f"""
 SELECT user_id, paper_id, score, rank, DATE '2024-01-31' AS rec_date,
   array_to_string(list_slice(list_concat(
-    list_transform(list_slice(coalesce(matched_list, CAST([] AS VARCHAR[])), 1, 3), k -> concat('keyword:', k)),
+    list_transform(list_slice(coalesce(matched_list, CAST([] AS VARCHAR[])), 1, 3), lambda k: concat('keyword:', k)),
     list_filter([
       CASE WHEN liked_terms > 0 THEN 'learned:{vocab.REASON_LEARNED}' END,
       CASE WHEN n_authors > 0 THEN concat('author:', array_to_string(list_slice(authors, 1, 2), ', ')) END,
@@ -591,7 +591,7 @@ SELECT user_id, paper_id, score, rank, DATE '2024-01-31' AS rec_date,
       CASE WHEN wanted_journal THEN concat('journal:', journal) END,
       CASE WHEN wanted_type THEN concat('keyword:', CASE study_type WHEN 'rct' THEN 'Rct'
         WHEN 'ai_ml' THEN 'Ai Ml' WHEN 'biomarker' THEN 'Biomarker' WHEN 'review' THEN 'Review' END) END
-    ], r -> r IS NOT NULL)), 1, 5), ' | ') AS reasons,
+    ], lambda r: r IS NOT NULL)), 1, 5), ' | ') AS reasons,
   coalesce(matched, '') AS matched
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, position) AS INT) AS rank
       FROM final WHERE score > 0) t
@@ -778,7 +778,7 @@ _READERS = {
         FROM met JOIN papers ON id = paper_id GROUP BY ALL) t QUALIFY rank <= 6""",
     "top_journal": """
   SELECT user_id, journal, count(*) AS n FROM met JOIN papers ON id = paper_id WHERE journal <> ''
-  GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, journal) = 1""",
+  GROUP BY user_id, journal QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, journal) = 1""",
 }
 check(
     "reader_topics",
@@ -812,7 +812,7 @@ check(
 SELECT label, CAST(min(week) AS INT) AS start, count(*) AS span, CAST(sum(n) AS BIGINT) AS reads FROM (
   SELECT *, sum(changed) OVER (ORDER BY week) AS run FROM (
     SELECT w.*, coalesce(r.n, 0) AS n,
-      CASE WHEN label = lag(label) OVER (ORDER BY week) THEN 0 ELSE 1 END AS changed
+      CASE WHEN label = lag(label) OVER (ORDER BY w.week) THEN 0 ELSE 1 END AS changed
     FROM (SELECT week, strftime({TODAY} - CAST((25 - week) * 7 AS INT), '%b') AS label
           FROM (SELECT unnest(range(26)) AS week) x) w
     LEFT JOIN (SELECT 25 - date_diff('day', CAST(clicked_at AS DATE), {TODAY}) // 7 AS week, count(*) AS n
@@ -888,7 +888,7 @@ check(
     "enrichment_parse",
     r"""
 SELECT pmid, summary_ko, study_design, sample_size, clinical_relevance, question, answer,
-  summary_ko <> '' AND len(list_filter(string_split(summary_ko, chr(10)), x -> regexp_matches(x, '\S'))) <> 3 AS malformed
+  summary_ko <> '' AND len(list_filter(string_split(summary_ko, chr(10)), lambda x: regexp_matches(x, '\S'))) <> 3 AS malformed
 FROM (SELECT CAST(doc_id AS VARCHAR) AS pmid,
   CASE doc_id % 4 WHEN 1 THEN concat('plain ', doc_id, ' ', text, ' end')
     WHEN 2 THEN concat('{"summary_ko":', CAST(to_json(text) AS VARCHAR), ',"structured":{"study_design":"', lang,
@@ -925,7 +925,7 @@ check(
 SELECT w.id AS alert_id, w.alert_type, lower(w.value) AS value, p.id AS paper_id FROM wanted w
 JOIN (SELECT * FROM papers WHERE fetched_at > {_SINCE}) p ON CASE w.alert_type
   WHEN 'keyword' THEN contains(lower(p.title), lower(w.value)) OR contains(lower(p.abstract), lower(w.value))
-  WHEN 'author' THEN len(list_filter(p.authors, a -> contains(lower(a), lower(w.value)))) > 0
+  WHEN 'author' THEN len(list_filter(p.authors, lambda a: contains(lower(a), lower(w.value)))) > 0
   ELSE contains(lower(p.journal), lower(w.value)) END
 WHERE w.c_acctbal >= 0""",
     wanted="""
