@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.dates import kst_date
-from lectern.functions.skew import spread_join
 from lectern.functions.text import (
     array_or_empty, article_url, author_list, relevance_label,
 )
@@ -21,7 +20,7 @@ def picks_for_date(
     own = feedbacks.select("user_id", "paper_id", F.col("action").alias("feedback_action"))
     best = Window.partitionBy("user_id").orderBy(F.desc("score"), "paper_id")
     return (
-        spread_join(picked, described, "paper_id", ["user_id"])
+        picked.join(described, "paper_id")
         .join(own, ["user_id", "paper_id"], "left")
         .withColumn("position", F.row_number().over(best))
         .withColumn("relevance", relevance_label(F.col("clinical_relevance")))
@@ -61,7 +60,7 @@ def digest_items(
     described = papers.select(
         F.col("id").alias("paper_id"), "pmid", "title", "journal", "pub_date", "authors"
     )
-    items = spread_join(top, described, "paper_id", ["user_id"])
+    items = top.join(described, "paper_id")
     if "reasons" in recommendations.columns:
         labels = F.transform(
             F.slice(F.coalesce(F.col("reasons.reasons"), F.array()), 1, 3), lambda r: r["label"]

@@ -9,7 +9,6 @@ from functools import wraps
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import dates, text
-from lectern.functions.skew import spread_join
 from lectern.operators import (
     admin, alerts, audit, classify, digest, dwell, enrich, feedback, ingest, insights,
     maintain, pool, recommend, scoring, search_index, signals,
@@ -500,7 +499,7 @@ def _pool(g):
 def content_score(g):
     """Pairs with a keyword match; every other pair has 0."""
     recent = _pool(g)
-    facets = signals.profile_facets(g.profiles).where("facet = 'keyword'")
+    facets = signals.profile_facets(g.stored("profiles")).where("facet = 'keyword'")
     postings = signals.keyword_postings(facets, recent)
     pairs = signals.gathered(signals.matches(facets, postings, recent))
     return pairs.select(
@@ -514,9 +513,8 @@ def content_score(g):
 def behaviour_score(g):
     """Pairs that agree with a reader's history in something; every other pair has 0."""
     recent = _pool(g)
-    facets = signals.history_facets(
-        g.feedbacks, feedback.dwelt(feedback.recent_reads(g.read_history)), recent
-    )
+    visits = feedback.dwelt(feedback.recent_reads(g.read_history))
+    facets = signals.history_facets(g.feedbacks, visits, recent)
     postings = signals.history_postings(recent).union(signals.keyword_postings(facets, recent))
     pairs = signals.gathered(signals.matches(facets, postings, recent))
     score = scoring.behaviour_score(
@@ -533,7 +531,8 @@ def behaviour_score(g):
 def collaborative_score(g):
     """Pairs with a like-minded reader; every other pair has 0."""
     targets = pool.recent_pool(g.papers, AS_OF).select(F.col("id").alias("paper_id"))
-    scores = peer_scores(insights.likes_of(g.feedbacks), staged(targets, "targets"))
+    likes = insights.likes_of(g.stored("feedbacks"))
+    scores = peer_scores(likes, staged(targets, "targets"))
     return scores.select(
         "user_id", "paper_id",
         scoring.collaborative_score(F.col("billionths")).alias("collaborative"),
@@ -552,9 +551,10 @@ def hybrid_score(g):
     """All parts of the score for unseen pairs with a signal."""
     recent = _pool(g)
     targets = pool.recommendable(recent)
-    reads = feedback.recent_reads(g.read_history)
-    pairs = recommend.signal_pairs(g.profiles, g.feedbacks, reads, recent, targets)
-    seen = feedback.seen_papers(g.feedbacks, reads)
+    reads = feedback.recent_reads(g.stored("read_history"))
+    votes = g.stored("feedbacks")
+    pairs = recommend.signal_pairs(g.stored("profiles"), votes, reads, recent, targets)
+    seen = feedback.seen_papers(votes, reads)
     scored = scoring.scored(pairs, targets, AS_OF)
     return scored.join(seen, ["user_id", "paper_id"], "left_anti").select(
         "user_id", "paper_id", "content", "behaviour", "collaborative",
@@ -569,7 +569,7 @@ def printed_reasons(column):
 @query
 def daily_recommendations(g):
     picks = recommend.daily_recommendations(
-        g.profiles, g.papers, g.feedbacks, g.read_history, AS_OF
+        g.stored("profiles"), g.papers, g.stored("feedbacks"), g.stored("read_history"), AS_OF
     )
     return picks.select(
         "user_id", "paper_id", "score", "rank", "rec_date",
@@ -581,7 +581,7 @@ def daily_recommendations(g):
 @query
 def instant_recommendations(g):
     return recommend.instant_recommendations(
-        g.profiles, g.papers, g.feedbacks, g.read_history, AS_OF
+        g.stored("profiles"), g.papers, g.stored("feedbacks"), g.stored("read_history"), AS_OF
     )
 
 

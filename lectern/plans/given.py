@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.operators.feedback import current_feedback
+from lectern.session import spread_out, staged
 from lectern.sources import vocab
 
 AS_OF = "2024-01-30 23:59:59"
@@ -91,13 +92,17 @@ class Given:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """A view written as a table first, as the engine's own tables are."""
+        return staged(getattr(self, name), name)
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread_out(self.table("documents"), "doc_id")
 
     @cached_property
     def n_documents(self):
-        return self.documents.agg(F.count("*")).scalar()
+        return self.table("documents").agg(F.count("*")).scalar()
 
     @cached_property
     def papers(self) -> DataFrame:

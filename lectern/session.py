@@ -57,3 +57,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return files.exists(target)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out by key; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
