@@ -52,11 +52,13 @@ def quoted(literal: Column) -> Column:
 def whole_word_pattern(literal: Column) -> Column:
     """Pattern for the literal between two word boundaries, word characters being ASCII.
 
-    Written with look-around so that it does not depend on the JDK's idea of a boundary.
+    Written with look-around so that it does not depend on the JDK's idea of a boundary,
+    and with the literal in front, which lets the engine skip through the text.
     """
-    before = F.when(literal.rlike(r"^\w"), F.lit(r"(?<!\w)")).otherwise(F.lit(r"(?<=\w)"))
+    text = quoted(literal)
+    before = F.when(literal.rlike(r"^\w"), F.lit(r"(?<!\w")).otherwise(F.lit(r"(?<=\w"))
     after = F.when(literal.rlike(r"\w$"), F.lit(r"(?!\w)")).otherwise(F.lit(r"(?=\w)"))
-    return F.concat(before, quoted(literal), after)
+    return F.concat(text, before, text, F.lit(")"), after)
 
 
 def highlighted(text: Column, terms: Column, opening="<mark>", closing="</mark>") -> Column:

@@ -505,7 +505,6 @@ def content_score(g):
     return pairs.select(
         "user_id", "paper_id",
         scoring.content_score(F.col("keyword_tenths")).alias("content"),
-        joined(F.col("matched")).alias("matched"),
     )
 
 
@@ -518,12 +517,11 @@ def behaviour_score(g):
     postings = signals.history_postings(recent).union(signals.keyword_postings(facets, recent))
     pairs = signals.gathered(signals.matches(facets, postings, recent))
     score = scoring.behaviour_score(
-        F.col("liked_terms"), F.size("liked_authors"), F.col("disliked"), F.col("dwell_terms"),
+        F.col("liked_terms"), F.col("liked_authors"), F.col("disliked"), F.col("dwell_terms"),
         F.col("dwell_journal"),
     )
     return pairs.select(
-        "user_id", "paper_id", "liked_terms", joined(F.col("liked_authors")).alias("authors"),
-        "disliked", "dwell_terms", "dwell_journal", score.alias("behaviour"),
+        "user_id", "paper_id", "liked_terms", "liked_authors", "disliked", "dwell_terms", "dwell_journal", score.alias("behaviour"),
     )
 
 
@@ -553,7 +551,8 @@ def hybrid_score(g):
     targets = pool.recommendable(recent)
     reads = feedback.recent_reads(g.stored("read_history"))
     votes = g.stored("feedbacks")
-    pairs = recommend.signal_pairs(g.stored("profiles"), votes, reads, recent, targets)
+    facets = recommend.reader_facets(g.stored("profiles"), votes, reads, recent)
+    pairs = recommend.signal_pairs(facets, votes, targets)
     seen = feedback.seen_papers(votes, reads)
     scored = scoring.scored(pairs, targets, AS_OF)
     return scored.join(seen, ["user_id", "paper_id"], "left_anti").select(

@@ -550,13 +550,13 @@ _SCORING = {
 }
 check(
     "content_score",
-    "SELECT user_id, paper_id, hundredths / 100e0 AS content, matched FROM content_part",
+    "SELECT user_id, paper_id, hundredths / 100e0 AS content FROM content_part",
     **_SCORING,
 )
 check(
     "behaviour_score",
     """SELECT user_id, paper_id, CAST(liked_terms AS BIGINT) AS liked_terms,
-  array_to_string(authors, '; ') AS authors, CAST(disliked AS BIGINT) AS disliked,
+  CAST(n_authors AS BIGINT) AS liked_authors, CAST(disliked AS BIGINT) AS disliked,
   CAST(dwell_terms AS BIGINT) AS dwell_terms, dwell_journal, behaviour FROM behaviour_part""",
     **_SCORING,
 )
