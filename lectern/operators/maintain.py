@@ -1,6 +1,6 @@
 """Table maintenance: patches, deletes, defaults and appends as new snapshots."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import array_or_empty
 from lectern.session import path_exists, staged
@@ -172,15 +172,22 @@ def catalogue_choices(profiles: DataFrame) -> DataFrame:
 
 
 def collection_listing(collections, members, papers) -> DataFrame:
-    """Papers of every collection with its owner, newest collection first within a user."""
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "collection_id")
+    """Papers of every collection with its owner, a user's newest collection first.
+
+    Sorted over the whole result, not numbered per user, so that a user with very many
+    collections is spread over tasks like all others.
+    """
     listed = collections.select(
         F.col("id").alias("collection_id"), "user_id", "name", "created_at"
-    ).withColumn("position", F.row_number().over(newest))
+    )
     described = papers.select(
         F.col("id").alias("paper_id"), "pmid", "title", "journal", "pub_date"
     )
-    return members.join(listed, "collection_id").join(described, "paper_id")
+    return (
+        members.join(listed, "collection_id")
+        .join(described, "paper_id")
+        .orderBy("user_id", F.desc("created_at"), "collection_id", "paper_id")
+    )
 
 
 def members_of_user(members: DataFrame, collections: DataFrame, user) -> DataFrame:

@@ -4,6 +4,7 @@ Each one runs an operator over whole tables. Lists are printed as text, so that
 be compared on plain columns.
 """
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, functions as F
@@ -32,6 +33,10 @@ def query(function):
     return run
 
 
+def _run_id() -> str:
+    return uuid.uuid4().hex
+
+
 def joined(column, separator="; "):
     return F.array_join(column, separator)
 
@@ -100,8 +105,8 @@ def article_parse(g):
 @query
 def article_scan(g):
     """The same records written as files first, and scanned record by record."""
-    folder = f"{shared_folder(g.spark)}/articles-{g.spark.sparkContext.applicationId}"
-    article_xml(g.documents).write.mode("overwrite").text(folder)
+    folder = f"{shared_folder(g.spark)}/articles-{_run_id()}"
+    article_xml(g.documents).write.text(folder)
     return _printed(articles.read_articles(g.spark, folder))
 
 
@@ -223,12 +228,6 @@ def feedback_stream(g):
     return state.current()
 
 
-def _run_id():
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def _collections(g):
     """Readers in debt have their collection of liked papers already."""
     name = F.lit(vocab.LIKED_COLLECTION_NAME)
@@ -281,7 +280,7 @@ def _own_members(g):
 @query
 def collection_papers(g):
     return maintain.collection_listing(_own_collections(g), _own_members(g), g.papers).select(
-        "collection_id", "user_id", "name", "position", "paper_id", "pmid", "title", "pub_date"
+        "collection_id", "user_id", "name", "created_at", "paper_id", "pmid", "title", "pub_date"
     )
 
 

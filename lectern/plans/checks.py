@@ -255,9 +255,8 @@ _MEMBERS = "SELECT DISTINCT concat(user_id, '/', event_type) AS collection_id, p
 check(
     "collection_papers",
     """
-SELECT c.collection_id, user_id, name, position, m.paper_id, pmid, title, pub_date
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, collection_id) AS INT)
-        AS position FROM own_collections) c
+SELECT c.collection_id, user_id, name, created_at, m.paper_id, pmid, title, pub_date
+FROM own_collections c
 JOIN own_members m ON m.collection_id = c.collection_id JOIN papers p ON p.id = m.paper_id""",
     own_collections=_COLLECTIONS,
     own_members=_MEMBERS,

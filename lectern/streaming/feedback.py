@@ -1,58 +1,74 @@
 """Feedback state kept up to date from a change stream."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.operators.feedback import latest_change
+from lectern.session import path_exists
 
-STATE_SCHEMA = "user_id {user}, paper_id bigint, action string, ts {ts}, event_id bigint"
+COLUMNS = ["user_id", "paper_id", "action", "ts", "event_id"]
 
 
 class FeedbackState:
-    """Versioned snapshots of the last change per (user, paper), one folder per batch.
+    """The last change per (user, paper) as a base table and the batches since.
 
-    Batch n merges into version n - 1 and writes version n. A batch that is run again
-    after a failure reads the same older version and overwrites its own folder, so the
-    result does not depend on retries. Removed rows stay in the state as `none`, so that a
-    late older change cannot bring them back.
+    A batch writes only its own last changes, to a folder named by its number, so its cost
+    follows the batch and not the state. Every `merge_every` batches base and batches are
+    merged into a new base. A batch that is run again after a failure overwrites its own
+    folders with the same rows. Removed rows stay as `none`, so that a late older change
+    cannot bring them back.
     """
 
-    def __init__(self, spark: SparkSession, root: str, changes_schema):
+    def __init__(self, spark: SparkSession, root: str, changes_schema, merge_every: int = 20):
         self.spark = spark
         self.root = root
-        types = {field.name: field.dataType.simpleString() for field in changes_schema}
-        self.schema = STATE_SCHEMA.format(user=types["user_id"], ts=types["ts"])
+        self.merge_every = merge_every
+        self.schema = ", ".join(
+            f"{name} {changes_schema[name].dataType.simpleString()}" for name in COLUMNS
+        )
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/version={version}"
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.root}/{kind}={number}"
 
-    def _versions(self, below: int | None = None) -> list[int]:
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the folders that were written to the end."""
+        if not path_exists(self.spark, self.root):
+            return []
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        complete = [
-            int(entry.getPath().getName().split("=")[1])
-            for entry in files.listStatus(path)
-            if files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
-        ]
-        return sorted(v for v in complete if below is None or v < below)
+        names = [entry.getPath().getName() for entry in files.listStatus(path)]
+        numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")]
+        return sorted(
+            n for n in numbers if path_exists(self.spark, f"{self._folder(kind, n)}/_SUCCESS")
+        )
 
-    def read(self, below: int | None = None) -> DataFrame:
-        versions = self._versions(below)
-        if not versions:
+    def last_changes(self, upto: int | None = None) -> DataFrame:
+        """State after batch `upto`, by default after all batches."""
+        known = lambda n: upto is None or n <= upto
+        bases = [n for n in self._complete("base") if known(n)]
+        newest = bases[-1] if bases else -1
+        parts = [self._folder("base", newest)] if bases else []
+        parts += [
+            self._folder("batch", n) for n in self._complete("batch") if n > newest and known(n)
+        ]
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(versions[-1]))
+        tables = [self.spark.read.schema(self.schema).parquet(part) for part in parts]
+        return latest_change(reduce(DataFrame.union, tables)).select(*COLUMNS)
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        columns = ["user_id", "paper_id", "action", "ts", "event_id"]
-        changes = latest_change(batch).select(*columns)
-        merged = latest_change(self.read(below=batch_id).select(*columns).unionByName(changes))
-        merged.select(*columns).write.mode("overwrite").parquet(self._folder(batch_id))
+    def apply(self, batch: DataFrame, number: int) -> None:
+        changes = latest_change(batch).select(*COLUMNS)
+        changes.write.mode("overwrite").parquet(self._folder("batch", number))
+        if (number + 1) % self.merge_every == 0:
+            merged = self.last_changes(number)
+            if number not in self._complete("base"):
+                merged.write.mode("overwrite").parquet(self._folder("base", number))
 
     def current(self) -> DataFrame:
         return (
-            self.read()
+            self.last_changes()
             .where(F.col("action") != "none")
             .select("user_id", "paper_id", "action", F.col("ts").alias("created_at"))
         )
