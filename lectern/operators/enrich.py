@@ -71,7 +71,8 @@ def _stripped(text: Column) -> Column:
 
 def answer_text(body: Column) -> Column:
     """The last part with text that is no thought, else the last part with text."""
-    parts = F.from_json(body, RESPONSE)["candidates"][0]["content"]["parts"]
+    first = F.get(F.from_json(body, RESPONSE)["candidates"], 0)
+    parts = first["content"]["parts"]
     spoken = F.filter(parts, lambda p: p["text"].isNotNull())
     final = F.filter(spoken, lambda p: ~F.coalesce(p["thought"], F.lit(False)))
     return _stripped(
