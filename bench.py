@@ -17,12 +17,12 @@ from lectern.plans.catalog import QUERIES  # noqa: E402
 from lectern.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "daily_recommendations", "instant_recommendations", "collaborative_score",
-    "content_score", "behaviour_score", "article_parse", "ingest_new_papers",
-    "classify_backlog", "search_vector", "feedback_current", "dwell_batch",
-    "admin_stats", "admin_daily_activity", "admin_top_papers", "admin_user_engagement",
-    "reader_topics", "reader_summary", "reader_heatmap", "learned_interests",
-    "digest_payload", "alert_match", "constraint_audit",
+    "feedback_current", "dwell_batch", "admin_stats", "admin_daily_activity",
+    "admin_top_papers", "admin_user_engagement", "constraint_audit", "digest_payload",
+    "article_parse", "ingest_new_papers", "classify_backlog", "search_vector",
+    "reader_heatmap", "reader_topics", "reader_summary", "learned_interests",
+    "alert_match", "collaborative_score", "behaviour_score", "content_score",
+    "instant_recommendations", "daily_recommendations",
 ]
 
 

@@ -16,17 +16,19 @@ def spread_join(
     hot_keys: int = HOT_KEYS,
     salts: int = SALTS,
     min_rows: int = MIN_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """`facts.join(dims, key, how)` for `how` in inner, left, left_semi, left_anti.
 
     The most frequent keys (at most `hot_keys`, each with `min_rows` rows or more) are
     found with a partial count. Only their rows are spread over `salts` sub-keys, and only
     their rows on the other side are repeated, so one shuffle serves both and no task gets
-    a whole hot key. The broadcast list has at most `hot_keys` rows whatever the data.
+    a whole hot key. The broadcast list has at most `hot_keys` rows whatever the data. The
+    keys are counted on `counted` where the same keys can be had without computing `facts`.
     """
     keys = [key] if isinstance(key, str) else list(key)
     hot = (
-        facts.groupBy(*keys)
+        (facts if counted is None else counted).groupBy(*keys)
         .count()
         .where(F.col("count") >= min_rows)
         .orderBy(F.desc("count"), *keys)

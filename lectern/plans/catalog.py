@@ -499,8 +499,8 @@ def content_score(g):
     """Pairs with a keyword match; every other pair has 0."""
     recent = _pool(g)
     facets = signals.profile_facets(g.stored("profiles")).where("facet = 'keyword'")
-    postings = signals.keyword_postings(facets, recent)
-    pairs = signals.gathered(signals.matches(facets, postings, recent))
+    postings = signals.keyword_postings(facets, recent, recent)
+    pairs = signals.gathered(signals.matches(facets, postings))
     return pairs.select(
         "user_id", "paper_id",
         scoring.content_score(F.col("keyword_tenths")).alias("content"),
@@ -513,8 +513,10 @@ def behaviour_score(g):
     recent = _pool(g)
     visits = feedback.dwelt(feedback.recent_reads(g.read_history))
     facets = signals.history_facets(g.feedbacks, visits, recent)
-    postings = signals.history_postings(recent).union(signals.keyword_postings(facets, recent))
-    pairs = signals.gathered(signals.matches(facets, postings, recent))
+    postings = signals.history_postings(recent).union(
+        signals.keyword_postings(None, recent, recent)
+    )
+    pairs = signals.gathered(signals.matches(facets, postings))
     score = scoring.behaviour_score(
         F.col("liked_terms"), F.col("liked_authors"), F.col("disliked"), F.col("dwell_terms"),
         F.col("dwell_journal"),
@@ -550,8 +552,7 @@ def hybrid_score(g):
     targets = pool.recommendable(recent)
     reads = feedback.recent_reads(g.stored("read_history"))
     votes = g.stored("feedbacks")
-    facets = recommend.reader_facets(g.stored("profiles"), votes, reads, recent)
-    pairs = recommend.signal_pairs(facets, votes, targets)
+    pairs = recommend.signal_pairs(g.stored("profiles"), votes, reads, recent, targets)
     seen = feedback.seen_papers(votes, reads)
     scored = scoring.scored(pairs, targets, AS_OF)
     return scored.join(seen, ["user_id", "paper_id"], "left_anti").select(
