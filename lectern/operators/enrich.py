@@ -125,3 +125,15 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     )
     lines = filled_lines(F.col("summary_ko"))
     return result.withColumn("malformed", (F.col("summary_ko") != "") & (lines != 3))
+
+
+def enrichment_report(requests: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Requests, answers stored, answers missing, and answers not of three lines."""
+    answered = parsed.select("pmid", "malformed").dropDuplicates(["pmid"])
+    joined = requests.select("pmid").join(answered, "pmid", "left")
+    return joined.agg(
+        F.count("*").alias("asked"),
+        F.count("malformed").alias("done"),
+        F.count_if(F.col("malformed").isNull()).alias("failed"),
+        F.count_if(F.col("malformed")).alias("malformed"),
+    )

@@ -786,6 +786,16 @@ def enrichment_parse(g):
     )
 
 
+@query
+def enrichment_report(g):
+    """Responses have landed for the labelled documents only."""
+    labelled = g.table("labels").select("doc_id")
+    landed = g.documents.join(labelled, "doc_id", "left_semi")
+    parsed = enrich.parsed_responses(model_responses(landed))
+    requests = enrich.enrichment_requests(enrich.enrichment_candidates(g.papers))
+    return enrich.enrichment_report(requests, parsed)
+
+
 @query
 def paper_text(g):
     title, abstract = F.col("title"), F.col("abstract")

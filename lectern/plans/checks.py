@@ -900,6 +900,18 @@ FROM (SELECT CAST(doc_id AS VARCHAR) AS pmid,
   CASE WHEN doc_id % 4 IN (0, 3) THEN lang END AS answer
   FROM documents) t""",
 )
+check(
+    "enrichment_report",
+    r"""
+SELECT count(*) AS asked, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS failed,
+  count(*) FILTER (l.doc_id IS NOT NULL AND (d.doc_id % 4 IN (1, 2) AND d.lines <> 3
+    OR d.doc_id % 4 IN (0, 3) AND d.text <> '' AND d.lines <> 3)) AS malformed
+FROM candidates c
+JOIN (SELECT doc_id, text, CASE WHEN doc_id % 4 = 2 THEN 1 ELSE len(list_filter(string_split(text, chr(10)),
+        lambda x: regexp_matches(x, '\S'))) END AS lines FROM documents) d ON d.doc_id = c.id
+LEFT JOIN labels l ON l.doc_id = c.id""",
+    candidates=_CANDIDATES,
+)
 check(
     "paper_text",
     f"""

@@ -6,6 +6,7 @@ lacks is appended by document number. Expressions both engines understand are ke
 text and used by the Spark views here and by the check SQL alike.
 """
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -301,8 +302,6 @@ CTES = {
 
 def check_sql(body: str, **own: str) -> str:
     """`body` with the views it names in front of it; `own` adds views of one query."""
-    import re
-
     views = {**CTES, **own}
     needed: list[str] = []
 

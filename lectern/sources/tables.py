@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import text_or_array
+from lectern.session import staged
 
 SCHEMAS = {
     "papers": """id bigint, pmid string, title string, abstract string,
@@ -60,3 +61,24 @@ def normalised(table: DataFrame, *columns: str) -> DataFrame:
 def owned_by(table: DataFrame, user: Column | str, column: str = "user_id") -> DataFrame:
     """Rows of one user."""
     return table.where(F.col(column) == user)
+
+
+def _as_stored(rows: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """The table's columns in order; columns the rows lack are NULL."""
+    fields = spark.createDataFrame([], SCHEMAS[name]).schema.fields
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in fields
+        ]
+    )
+
+
+def append_rows(rows: DataFrame, root: str, name: str) -> None:
+    _as_stored(rows, rows.sparkSession, name).write.mode("append").parquet(f"{root}/{name}")
+
+
+def replace_table(rows: DataFrame, root: str, name: str) -> None:
+    """A new snapshot in place of the old one, which the rows may have been made from."""
+    snapshot = staged(_as_stored(rows, rows.sparkSession, name), name)
+    snapshot.write.mode("overwrite").parquet(f"{root}/{name}")

@@ -1,7 +1,6 @@
 import json
 from datetime import date, datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import alerts, audit, digest, enrich, maintain, search_index
