@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from lectern.plans.catalog import QUERIES
+from lectern.plans.checks import CHECKS
 from tools.compare import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -22,10 +24,10 @@ def duck():
 
 
 def test_every_query_has_a_check():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     result = contract.queries()[name](spark, SF)
     wanted = duck.sql(contract.oracle_sql()[name])
