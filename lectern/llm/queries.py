@@ -2,9 +2,11 @@
 
 from lectern.llm.common import documents
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.simhash import near_duplicates
 
 QUERIES = {
     "op7_exact_dedup": lambda spark, sf_dir: exact_groups(documents(spark, sf_dir)),
+    "op8_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
 }
 
 CHECKS = {
