@@ -1,10 +1,14 @@
 """The operators over the given tables, and the SQL that checks them."""
 
-from lectern.llm.common import documents
+from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.quality_classifier import fold, quality
 from lectern.llm.simhash import near_duplicates
 
 QUERIES = {
+    "op5_quality_classifier": lambda spark, sf_dir: quality(
+        documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 5) != 0
+    ),
     "op7_exact_dedup": lambda spark, sf_dir: exact_groups(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
 }
