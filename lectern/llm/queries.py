@@ -3,9 +3,11 @@
 from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.quality_classifier import fold, quality
+from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
     "op5_quality_classifier": lambda spark, sf_dir: quality(
         documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 5) != 0
     ),
