@@ -1,13 +1,19 @@
 """The operators over the given tables, and the SQL that checks them."""
 
+import public_tokenizers
+
 from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.packing import packed
 from lectern.llm.quality_classifier import fold, quality
 from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
+    "op3_packing": lambda spark, sf_dir: packed(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1
+    ),
     "op5_quality_classifier": lambda spark, sf_dir: quality(
         documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 5) != 0
     ),
