@@ -8,6 +8,7 @@ from lectern.llm.packing import packed
 from lectern.llm.quality_classifier import fold, quality
 from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
+from lectern.llm.token_files import round_trip
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
@@ -19,6 +20,9 @@ QUERIES = {
     ),
     "op7_exact_dedup": lambda spark, sf_dir: exact_groups(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
+    "op9_simple8b": lambda spark, sf_dir: round_trip(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2
+    ),
 }
 
 CHECKS = {
