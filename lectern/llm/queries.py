@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from lectern.llm.byte_bpe import encoded
 from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.packing import packed
@@ -20,6 +21,9 @@ QUERIES = {
     ),
     "op7_exact_dedup": lambda spark, sf_dir: exact_groups(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
+    "op10_byte_bpe": lambda spark, sf_dir: encoded(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ),
     "op9_simple8b": lambda spark, sf_dir: round_trip(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2
     ),
