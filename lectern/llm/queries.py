@@ -7,12 +7,14 @@ from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.packing import packed
 from lectern.llm.quality_classifier import fold, quality
+from lectern.llm.quality_rules import check_sql, verdicts
 from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
 from lectern.llm.token_files import round_trip
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
+    "op2_quality_rules": lambda spark, sf_dir: verdicts(documents(spark, sf_dir)),
     "op3_packing": lambda spark, sf_dir: packed(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1
     ),
@@ -30,6 +32,7 @@ QUERIES = {
 }
 
 CHECKS = {
+    "op2_quality_rules": check_sql(),
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
