@@ -11,6 +11,7 @@ from lectern.llm.quality_rules import check_sql, verdicts
 from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
 from lectern.llm.token_files import round_trip
+from lectern.llm.toxicity import toxicity
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
@@ -18,6 +19,9 @@ QUERIES = {
     "op3_packing": lambda spark, sf_dir: packed(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1
     ),
+    "op4_toxicity": lambda spark, sf_dir: toxicity(
+        documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 4) != 2
+    ),
     "op5_quality_classifier": lambda spark, sf_dir: quality(
         documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 5) != 0
     ),
