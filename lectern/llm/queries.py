@@ -6,6 +6,7 @@ from lectern.llm.byte_bpe import encoded
 from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.packing import packed
+from lectern.llm.passages import repeated_passages
 from lectern.llm.quality_classifier import fold, quality
 from lectern.llm.quality_rules import check_sql, verdicts
 from lectern.llm.secrets import secrets
@@ -25,6 +26,7 @@ QUERIES = {
     "op5_quality_classifier": lambda spark, sf_dir: quality(
         documents(spark, sf_dir), labels(spark, sf_dir), lambda doc_id: fold(doc_id, 5) != 0
     ),
+    "op6_passages": lambda spark, sf_dir: repeated_passages(documents(spark, sf_dir)),
     "op7_exact_dedup": lambda spark, sf_dir: exact_groups(documents(spark, sf_dir)),
     "op8_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
     "op10_byte_bpe": lambda spark, sf_dir: encoded(
