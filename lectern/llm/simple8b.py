@@ -36,20 +36,29 @@ def widths_of(values: np.ndarray) -> np.ndarray:
 
 
 def choices(values: np.ndarray) -> np.ndarray:
-    """The selector of a word that begins at each value of some whole blocks."""
-    wide, count = widths_of(values), len(values)
-    place = np.arange(count, dtype=np.int32)
-    end = np.minimum((place // BLOCK + 1) * BLOCK, count).astype(np.int32)
-    most = wide.max()
-    choice = np.zeros(count, np.uint8)
+    """The selector of a word that begins at each value.
+
+    A selector fits if the widest of its next values does. Widest values of 1, 2, 4, ... in a
+    row come from those of half as many; behind the end of a block there are zeros.
+    """
+    count, blocks = len(values), -(-len(values) // BLOCK)
+    wide = np.zeros((blocks, BLOCK + 64), np.uint8)
+    flat = np.zeros(blocks * BLOCK, np.uint8)
+    flat[:count] = widths_of(values)
+    wide[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    widest, n = {1: wide}, 1
+    while n < 32:
+        last = widest[n]
+        widest[2 * n] = np.maximum(last[:, : last.shape[1] - n], last[:, n:])
+        n *= 2
+    choice = np.zeros((blocks, BLOCK), np.uint8)
     for selector in range(15, 1, -1):
-        if WIDTHS[selector] >= most:
-            choice[:] = selector
-            continue
-        far = np.where(wide > WIDTHS[selector], place, np.int32(count))
-        far = np.minimum.accumulate(far[::-1])[::-1]
-        choice[far >= np.minimum(place + np.int32(COUNTS[selector]), end)] = selector
-    return choice
+        n = int(COUNTS[selector])
+        half = 1 << (n.bit_length() - 1)
+        table = widest[half]
+        most = np.maximum(table[:, :BLOCK], table[:, n - half : n - half + BLOCK])
+        choice[most <= WIDTHS[selector]] = selector
+    return choice.ravel()[:count]
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

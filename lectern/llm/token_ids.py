@@ -7,7 +7,7 @@ ids of texts are gathered from there with numpy. Results are those of whole text
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -143,18 +143,19 @@ class ChunkEncoder:
         if len(self.places) > REMEMBER:
             self.clear()
         chunks = [self.rule.cut(text) for text in texts]
-        new = set().union(*chunks).difference(self.places)
-        if new:
-            self.learn(list(new))
         counts = np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks))
         last = np.cumsum(counts) - 1
         at = np.zeros(int(counts.sum()), np.int64)
         inner = np.ones(len(at), bool)
         inner[last] = False
-        find = self.places.__getitem__
-        at[inner] = np.fromiter(
-            map(find, chain.from_iterable(chunks)), np.int64, len(at) - len(texts)
-        )
+        flat = list(chain.from_iterable(chunks))
+        found = np.fromiter(map(self.places.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [flat[k] for k in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            found[missing] = np.fromiter(map(self.places.get, new), np.int64, len(new))
+        at[inner] = found
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         place = np.repeat(self.starts[at] - (ends - sizes), sizes)
