@@ -27,6 +27,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 #: What the models judge: unbroken strings of this alphabet.
 RUN = re.compile(r"[A-Za-z0-9+/_]{12,}")
+#: What the model of ordinary strings is trained on: words and identifiers as well.
+ORDINARY = re.compile(r"[A-Za-z0-9+/_]{4,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"
 SIZE = len(ALPHABET) + 1
 CODE = np.zeros(128, np.int64)
@@ -46,9 +48,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def other_runs(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+def other_runs(
+    text: str, spans: list[tuple[int, int, str]], rule: re.Pattern = RUN
+) -> list[tuple[int, int]]:
     """Unbroken strings that no span of the rules touches."""
-    found = [m.span() for m in RUN.finditer(text)]
+    found = [m.span() for m in rule.finditer(text)]
     if not spans:
         return found
     taken = sorted((s, e) for s, e, _ in spans)
@@ -148,7 +152,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             ordinary, secret = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
-                ordinary += [text[s:e] for s, e in other_runs(text, spans)]
+                ordinary += [text[s:e] for s, e in other_runs(text, spans, ORDINARY)]
                 secret += [text[s:e] for s, e, kind in spans if kind != "assign"]
             total[0] += counts_of(ordinary)
             total[1] += counts_of(secret)

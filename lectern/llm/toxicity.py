@@ -63,6 +63,9 @@ SCOPES = (1.0, 0.5, 0.6, 0.4)
 #: Weight of a word of THREATS; factor of an attack with a target in the clause.
 THREAT_WEIGHT, AIMED = 0.5, 1.5
 
+#: Numbers that the curve is fitted on, see Grammar.features.
+FEATURES = 4
+
 
 def compose() -> tuple[np.ndarray, np.ndarray]:
     """(next state, factor written) for each state and symbol of the composed machine.
@@ -269,10 +272,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, take: float = TAKE) -> D
             )
 
     found = known.select("text", "label").mapInArrow(measure, "row binary, label int").toArrow()
-    rows = np.frombuffer(b"".join(found["row"].to_pylist())).reshape(found.num_rows, -1)
+    rows = np.frombuffer(b"".join(found["row"].to_pylist())).reshape(found.num_rows, FEATURES)
     target = found["label"].to_numpy().astype(float)
-    order = np.lexsort(np.column_stack([target, rows]).T) if len(rows) else slice(None)
-    curve = fit_curve(rows[order] if len(rows) else np.zeros((0, 4)), target[order])
+    order = np.lexsort(np.column_stack([target, rows]).T)
+    curve = fit_curve(rows[order], target[order])
 
     def score(batches):
         for batch in pieces(batches):
