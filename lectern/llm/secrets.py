@@ -38,6 +38,8 @@ DIGIT = re.compile(r"[0-9]")
 LEAST, RATIO = 20, 0.9
 #: Random strings of each alphabet in the labelled sample.
 DRAWN = 2_000
+#: Observations that the frequency of a character anywhere stands for after each character.
+PRIOR = 20.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -166,16 +168,18 @@ def fit(counts: DataFrame, smooth: float = 0.5) -> Models:
     """Both models from pair counts (at most 2 * SIZE * SIZE rows) and drawn random strings.
 
     The random model is the mean of drawn and found secrets, so that one frequent kind does
-    not hide the others. A character before which nothing was counted has a flat model.
+    not hide the others. After a character that was seen seldom, characters are as frequent as
+    anywhere, which counts as PRIOR observations.
     """
     total = np.zeros((2, SIZE * SIZE))
     for label, pair, n in counts.select("label", "pair", "n").collect():
         total[label, pair] = n
 
     def chances(n):
-        n = n.reshape(SIZE, SIZE)[:, 1:] + smooth
+        n = n.reshape(SIZE, SIZE)[:, 1:]
+        single = (n.sum(0) + smooth) / (n.sum() + smooth * (SIZE - 1))
         out = np.ones((SIZE, SIZE))
-        out[:, 1:] = n / n.sum(1, keepdims=True)
+        out[:, 1:] = (n + PRIOR * single) / (n.sum(1, keepdims=True) + PRIOR)
         return out.ravel()
 
     ordinary = chances(total[0])
