@@ -27,15 +27,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 #: What the models judge: unbroken strings of this alphabet.
 RUN = re.compile(r"[A-Za-z0-9+/_]{12,}")
-#: What the model of ordinary strings is trained on: words and identifiers as well.
-ORDINARY = re.compile(r"[A-Za-z0-9+/_]{4,}")
+#: What counts as ordinary in training: letters, with digits at the end only.
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_])[A-Za-z/_]{4,}[0-9]{0,4}(?![A-Za-z0-9+/_])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"
 SIZE = len(ALPHABET) + 1
 CODE = np.zeros(128, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 DIGIT = re.compile(r"[0-9]")
 #: A string with a digit is reported from this length and ratio per character (nats).
-LEAST, RATIO = 20, 0.9
+LEAST, RATIO = 20, 1.8
 #: Random strings of each alphabet in the labelled sample.
 DRAWN = 2_000
 #: Observations that the frequency of a character anywhere stands for after each character.
