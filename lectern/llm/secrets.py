@@ -35,7 +35,7 @@ CODE = np.zeros(128, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 DIGIT = re.compile(r"[0-9]")
 #: A string with a digit is reported from this length and ratio per character (nats).
-LEAST, RATIO = 20, 1.8
+LEAST, RATIO = 20, 3.0
 #: Random strings of each alphabet in the labelled sample.
 DRAWN = 2_000
 #: Observations that the frequency of a character anywhere stands for after each character.
