@@ -26,10 +26,17 @@ def ingest_articles(spark: SparkSession, root: str, xml_path: str, as_of) -> Dat
     return rows
 
 
+def last_of_each(metadata: DataFrame) -> DataFrame:
+    """The last record of every pmid, in the order of the scan."""
+    placed = metadata.withColumn("_place", F.monotonically_increasing_id())
+    row = F.struct(*metadata.columns)
+    return placed.groupBy("pmid").agg(F.max_by(row, "_place").alias("_row")).select("_row.*")
+
+
 def reclassify(spark: SparkSession, root: str, xml_path: str) -> DataFrame:
     """Classify what is unclassified from fresh metadata; returns the count per type."""
     papers = read_table(spark, root, "papers")
-    metadata = article_metadata(read_articles(spark, xml_path)).dropDuplicates(["pmid"])
+    metadata = last_of_each(article_metadata(read_articles(spark, xml_path)))
     changes = staged(classify.reclassified(classify.unclassified(papers), metadata), "changes")
     replace_table(classify.with_classification(papers, changes), root, "papers")
     return classify.classification_summary(changes)

@@ -30,36 +30,32 @@ def incomplete() -> Column:
     return (filled_lines(summary) < 3) | no_answers | no_relevance
 
 
-def enrichment_candidates(papers: DataFrame, newest: int = 200) -> DataFrame:
-    """Of the newest papers with an abstract, those with something missing.
-
-    The newest ids are found from two narrow columns before the rest of the row is read.
-    """
-    described = papers.where(F.col("abstract") != "")
-    ids = (
-        described.select("id", "fetched_at")
-        .orderBy(F.desc_nulls_first("fetched_at"), "id")
-        .limit(newest)
-        .select("id")
-    )
-    return described.join(F.broadcast(ids), "id", "left_semi").where(incomplete())
+def enrichment_candidates(papers: DataFrame, newest: int | None = None) -> DataFrame:
+    """Papers with an abstract and something missing; with `newest`, only the newest of them."""
+    missing = papers.where((F.col("abstract") != "") & incomplete())
+    if newest is None:
+        return missing
+    return missing.orderBy(F.desc_nulls_first("fetched_at"), "id").limit(newest)
 
 
 def enrichment_requests(
-    papers: DataFrame, template: str = TEMPLATE, abstract_chars: int = 3000
+    papers: DataFrame, template: str = TEMPLATE, abstract_chars: int | None = None
 ) -> DataFrame:
-    """One prompt per paper; the service's input limit cuts the abstract."""
+    """One prompt per paper; `abstract_chars` cuts the abstract for a service with a limit."""
 
     def given(column, default):
         return F.when(F.coalesce(column, F.lit("")) != "", F.col(column)).otherwise(default)
 
     before, rest = template.split("{title}")
     between, after = rest.split("{abstract}")
+    abstract = given("abstract", "No abstract.")
+    if abstract_chars is not None:
+        abstract = F.substring(abstract, 1, abstract_chars)
     prompt = F.concat(
         F.lit(before),
         given("title", "Untitled"),
         F.lit(between),
-        F.substring(given("abstract", "No abstract."), 1, abstract_chars),
+        abstract,
         F.lit(after),
     )
     return papers.select("id", "pmid", prompt.alias("prompt"))

@@ -74,8 +74,10 @@ def dwelt(reads: DataFrame, seconds: int = 30) -> DataFrame:
     return reads.where(F.col("dwell_seconds") >= seconds)
 
 
-def recent_reads(reads: DataFrame, per_user: int = 200) -> DataFrame:
-    """The newest reads of every user."""
+def recent_reads(reads: DataFrame, per_user: int | None = None) -> DataFrame:
+    """The newest `per_user` reads of every user; all reads without it."""
+    if per_user is None:
+        return reads
     newest = Window.partitionBy("user_id").orderBy(F.desc("clicked_at"), F.desc("id"))
     return (
         reads.withColumn("rank", F.row_number().over(newest))

@@ -124,7 +124,7 @@ def ingest_new_papers(g):
     columns = ["id", "pmid", "title", "abstract", "journal", "pub_date", "pub_types"]
     own = g.papers.select(*columns)
     listed_twice = own.unionByName(own.withColumn("journal", F.lit("Lancet")))
-    found = ingest.found_by_search(listed_twice, AS_OF, days=365, per_journal=15)
+    found = ingest.found_by_search(listed_twice, AS_OF, days=365)
     stored = g.table("labels").select(F.col("doc_id").cast("string").alias("pmid"))
     return ingest.new_articles(found, stored).select(
         "pmid", "journal", "search_order", "paper_type", "study_type", "pub_date"

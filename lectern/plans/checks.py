@@ -106,8 +106,7 @@ QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY search_order) = 1""",
   SELECT l.*, s.search_order FROM listed l JOIN scopes s ON s.journal = l.journal
   WHERE pub_date BETWEEN {TODAY} - 365 AND {TODAY}
     AND (everything OR regexp_matches(lower(concat(title, ' ', abstract)),
-         '\b({"|".join(vocab.TOPIC_WORDS)})\b'))
-  QUALIFY row_number() OVER (PARTITION BY search_order ORDER BY pub_date DESC, pmid) <= 15""",
+         '\b({"|".join(vocab.TOPIC_WORDS)})\b'))""",
 )
 
 _TERM_KIND = "SELECT * FROM (VALUES " + ", ".join(
@@ -467,8 +466,7 @@ _SCORING = {
     list(term ORDER BY ord) AS matched_list
   FROM user_keywords JOIN kw_points ON kw = term GROUP BY user_id, paper_id""",
     "late_reads": """
-  SELECT * FROM read_history
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY clicked_at DESC, id DESC) <= 200""",
+  SELECT * FROM read_history""",
     "liked": "SELECT f.user_id, f.paper_id FROM feedbacks f JOIN pool ON pool.id = f.paper_id WHERE action = 'like'",
     "dwelt": """
   SELECT DISTINCT user_id, paper_id FROM late_reads JOIN pool ON pool.id = paper_id WHERE dwell_seconds >= 30""",
@@ -867,7 +865,7 @@ GROUP BY user_id""",
 # --- enrichment, text, alerts --------------------------------------------------------------------------------------------------
 
 _CANDIDATES = """
-  SELECT * FROM (SELECT * FROM papers WHERE abstract <> '' ORDER BY fetched_at DESC NULLS FIRST, id LIMIT 200) t
+  SELECT * FROM (SELECT * FROM papers WHERE abstract <> '') t
   WHERE summary_ko IS NULL OR summary_ko = 'one line' OR NOT has_qa OR clinical_relevance = 0"""
 check(
     "enrichment_candidates",
@@ -880,7 +878,7 @@ check(
     "enrichment_request",
     f"""
 SELECT id, pmid, concat({_q(_before)}, CASE WHEN title = '' THEN 'Untitled' ELSE title END, {_q(_between)},
-  substr(abstract, 1, 3000), {_q(_after)}) AS prompt FROM candidates""",
+  abstract, {_q(_after)}) AS prompt FROM candidates""",
     candidates=_CANDIDATES,
 )
 check(

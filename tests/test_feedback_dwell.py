@@ -46,7 +46,8 @@ def test_recent_reads_lets_the_oldest_go(spark):
         "id", F.lit("u").alias("user_id"), F.col("id").alias("paper_id"),
         F.timestamp_seconds("id").alias("clicked_at"),
     )
-    kept = feedback.recent_reads(reads)
+    kept = feedback.recent_reads(reads, 200)
+    assert feedback.recent_reads(reads).count() == 201
     assert kept.count() == 200
     assert kept.where("paper_id = 0").count() == 0
 

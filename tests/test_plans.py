@@ -63,7 +63,7 @@ def test_top_papers_reads_narrow_and_counts_before_the_join(spark, stored):
 
 
 def test_recent_reads_limits_before_the_shuffle(spark, stored):
-    text = plan(feedback.recent_reads(stored("read_history")), "simple")
+    text = plan(feedback.recent_reads(stored("read_history"), 200), "simple")
     assert text.count("WindowGroupLimit") == 2
 
 

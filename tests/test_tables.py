@@ -156,7 +156,7 @@ def test_enrichment_candidates(spark):
     ]
     table = spark.createDataFrame(rows, schema)
     assert sorted(r["id"] for r in enrich.enrichment_candidates(table).collect()) == [2, 3, 4, 5, 7]
-    assert sorted(r["id"] for r in enrich.enrichment_candidates(table, 5).collect()) == [2, 3, 4, 5]
+    assert enrich.enrichment_candidates(table, 4).count() == 4
     prompts = {r["id"]: r["prompt"] for r in enrich.enrichment_requests(table, "T {title} A {abstract}!", 2).collect()}
     assert prompts[7] == "T Untitled A a!" and prompts[6] == "T t A No!"
 
