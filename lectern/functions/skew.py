@@ -2,9 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 64
-SALTS = 32
-MIN_ROWS = 1_000_000
+#: Shares of all rows that a shuffle partition gets on average; a sub-key has at most one.
+SHARES = 16
 
 
 def spread_join(
@@ -13,41 +12,41 @@ def spread_join(
     key: str | list[str],
     spread_by: list[str],
     how: str = "inner",
-    hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
-    min_rows: int = MIN_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """`facts.join(dims, key, how)` for `how` in inner, left, left_semi, left_anti.
 
-    The most frequent keys (at most `hot_keys`, each with `min_rows` rows or more) are
-    found with a partial count. Only their rows are spread over `salts` sub-keys, and only
-    their rows on the other side are repeated, so one shuffle serves both and no task gets
-    a whole hot key. The broadcast list has at most `hot_keys` rows whatever the data. The
-    keys are counted on `counted` where the same keys can be had without computing `facts`.
+    All rows are divided by SHARES per shuffle partition. A key with more rows than such a
+    share is cut by the hash of `spread_by` into as many sub-keys as it has shares, and its
+    rows on the other side are repeated for each. No more keys than shares can be that large,
+    so the broadcast list has at most that many rows and the repeats at most twice as many
+    groups, whatever the data. Null keys match nothing and are spread over all shares.
+
+    The keys are counted on `counted` where the same keys can be had without computing
+    `facts`; it may hold them in other numbers.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    hot = (
-        (facts if counted is None else counted).groupBy(*keys)
-        .count()
-        .where(F.col("count") >= min_rows)
-        .orderBy(F.desc("count"), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.lit(True).alias("_hot"))
+    shares = SHARES * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (facts if counted is None else counted).groupBy(*keys).count()
+    share = F.greatest(counts.agg(F.sum("count")).scalar() / shares, F.lit(1))
+    hot = counts.where(F.col("count") > share).select(
+        *keys, F.ceil(F.col("count") / share).cast("int").alias("_salts")
     )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    unmatched = F.lit(False)
+    for name in keys:
+        unmatched |= F.col(name).isNull()
+    salts = F.when(unmatched, F.lit(shares)).otherwise(F.coalesce("_salts", F.lit(1)))
     left = (
         facts.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+        .drop("_salts")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     right = (
         dims.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt",
-            F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))),
+            F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)),
         )
-        .drop("_hot")
+        .drop("_salts")
     )
     return left.join(right, keys + ["_salt"], how).drop("_salt")
