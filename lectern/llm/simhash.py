@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lectern.functions.skew import spread_join
 from lectern.llm.common import only, pieces, raw, texts
 from lectern.llm.components import components
 from lectern.session import staged
@@ -211,7 +212,7 @@ def near_groups(found: DataFrame, errors: int = 2) -> DataFrame:
     whole = distinct.join(moved, distinct["fp"] == moved["node"], "left").select(
         "fp", F.coalesce("least", "first").alias("least")
     )
-    return found.join(whole, "fp").select(
+    return spread_join(found, whole, "fp", ["doc_id", "text_key"]).select(
         "doc_id",
         "fp",
         "text_key",
