@@ -481,6 +481,51 @@ def test_chains_against_all_pairs():
         assert used == len(x)
 
 
+def planted(draw, size, every):
+    """A passage and its copy with a new word at even distance (0: none)."""
+    passage = words(draw, size)
+    copy = [w if not every or k % every != every // 2 else f"new{k}" for k, w in enumerate(passage)]
+    return passage, copy
+
+
+def around(draw, part):
+    return words(draw, 70) + part + words(draw, 70)
+
+
+def test_passages_with_fragments_in_lower_ids(spark):
+    draw = random.Random(12)
+    rows, pairs = [], []
+    for k in range(60):
+        size = (60, 80, 120)[k % 3]
+        cuts = (0, size // 3, 2 * size // 3, size) if size == 120 else (0, size // 2, size)
+        passage = words(draw, size)
+        for a, b in zip(cuts, cuts[1:]):
+            rows.append((len(rows), " ".join(around(draw, passage[a:b]))))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(around(draw, passage))))
+        pairs.append((len(rows) - 1, len(rows) - 2, size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = defaultdict(int)
+    for r in passages.repeated_passages(docs).collect():
+        found[r["doc_id"], r["other_id"]] += r["end"] - r["start"]
+    assert all(found[b, a] >= size for b, a, size in pairs)
+
+
+def test_passages_with_frequent_fragments(spark):
+    draw = random.Random(13)
+    passage = words(draw, 60)
+    rows = [around(draw, passage[:30]) for _ in range(15)]
+    rows += [around(draw, passage[30:]) for _ in range(15)]
+    rows += [around(draw, passage) for _ in range(2)]
+    rows += [around(draw, passage[(k % 2) * 30 :][:30]) for k in range(30)]
+    rows += [around(draw, passage)]
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(docs).collect()}
+    assert (31, 30) in found and {(62, 30), (62, 31)} & found
+
+
+
 # pipeline
 
 
