@@ -525,6 +525,25 @@ def test_passages_with_frequent_fragments(spark):
     assert (31, 30) in found and {(62, 30), (62, 31)} & found
 
 
+@pytest.mark.parametrize("every, least", [(5, 0.8), (6, 0.9), (10, 0.99), (20, 0.99)])
+def test_passages_recall(spark, every, least):
+    """Against the alignment of the whole texts."""
+    draw = random.Random(14)
+    rows, true = [], set()
+    for k in range(120):
+        two = [around(draw, x) for x in planted(draw, (52, 60, 80, 120)[k % 4], every)]
+        code = {w: n for n, w in enumerate(sorted({*two[0], *two[1]}))}
+        a, b = (np.array([code[w] for w in x], np.uint32) for x in two)
+        best = passages.align([(a, b, 0)])[0]
+        if min(best[1] - best[0], best[3] - best[2]) >= 50 and best[4] >= 0.8:
+            true.add((2 * k + 1, 2 * k))
+        rows += [(2 * k + i, " ".join(x)) for i, x in enumerate(two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(docs).collect()}
+    print(f"a change every {every} words: {len(found & true)} of {len(true)}, others {len(found - true)}")
+    assert len(true) > 60 and found <= true
+    assert len(found) >= least * len(true)
+
 
 # pipeline
 
