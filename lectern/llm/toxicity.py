@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm.common import pieces, texts
 
 #: Most labelled documents of either label that are learned from, chosen by a hash of the id.
+#: Those of a label with more count for all of them, see label_weights.
 SAMPLE = {1: 2_500, 0: 5_000}
 #: Most entries of the learned lexicon.
 ENTRIES = 4_000
@@ -170,11 +171,21 @@ class Grammar:
         )
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that are learned from, at most SAMPLE of them."""
-    known = labels.select(
+def known_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    return labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")
     ).filter("doc_id IS NOT NULL AND label IN (0, 1)")
+
+
+def label_weights(labels: DataFrame, label: str = "toxic") -> dict[int, float]:
+    """How many labelled documents a sampled one of each label stands for."""
+    totals = dict(known_labels(labels, label).groupBy("label").count().collect())
+    return {k: max(1.0, totals.get(k, 0) / n) for k, n in SAMPLE.items()}
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, text, label) of the labelled documents that are learned from, at most SAMPLE of them."""
+    known = known_labels(labels, label)
     parts = [
         known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         for k, n in SAMPLE.items()
@@ -182,13 +193,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
     return texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
 
 
-def learn_lexicon(found: DataFrame) -> dict[str, float]:
+def learn_lexicon(found: DataFrame, stands: dict[int, float] | None = None) -> dict[str, float]:
     """Weights of words and word beginnings that tell toxic documents, at most ENTRIES.
 
     Documents are counted, each only for words in a context (the words before and after) that
     no document of lower id has, so that copies count once. The evidence is that of a
-    likelihood ratio test.
+    likelihood ratio test on the sample; shares and weights are those of all labelled documents,
+    of which a document of label k stands for `stands[k]`.
     """
+    stands = stands or {0: 1.0, 1: 1.0}
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     rows = found.select("label", "doc_id", words.alias("w"))
     totals = dict(rows.groupBy("label").agg(F.countDistinct("doc_id")).collect())
@@ -223,20 +236,27 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
         c > 0, c * F.log(c / (n * (1 - part)))
     ).otherwise(0.0)
     best = (
-        counts.filter((k / n >= SHARE) & (k / n > part))
+        counts.filter((k * stands[1] / (k * stands[1] + c * stands[0]) >= SHARE) & (k / n > part))
         .withColumn("gain", gain)
         .filter(F.col("gain") >= EVIDENCE)
         .orderBy(F.desc("gain"), "stem")
         .limit(ENTRIES)
     )
+    odds = stands[1] / stands[0]
     return {
-        r["stem"]: float(min(2.0, max(0.5, np.log(r["k"] / (r["n"] - r["k"] + 0.5)) / 2)))
+        r["stem"]: float(min(2.0, max(0.5, np.log(odds * r["k"] / (r["n"] - r["k"] + 0.5)) / 2)))
         for r in best.collect()
     }
 
 
-def fit_curve(rows: np.ndarray, labels: np.ndarray, decay: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic curve over `rows` and a constant, by Newton's method."""
+def fit_curve(
+    rows: np.ndarray, labels: np.ndarray, decay: float = 1e-3, stands: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights of a logistic curve over `rows` and a constant, by Newton's method.
+
+    A row counts `stands` times.
+    """
+    counts = np.ones(len(rows)) if stands is None else stands
     x = np.column_stack([rows, np.ones(len(rows))])
     w = np.zeros(x.shape[1])
     if not len(rows) or labels.min() == labels.max():
@@ -244,8 +264,8 @@ def fit_curve(rows: np.ndarray, labels: np.ndarray, decay: float = 1e-3) -> np.n
         return w
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (labels - p) / len(x) - decay * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x / len(x) + decay * np.eye(len(w))
+        slope = x.T @ (counts * (labels - p)) / counts.sum() - decay * w
+        bend = (x * (counts * p * (1 - p))[:, None]).T @ x / counts.sum() + decay * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -260,8 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, take: float = TAKE) -> D
     texts count as empty, and an empty text has no clauses. Without labels of both kinds the
     grammar knows threats only. A document without id is not held out.
     """
-    known = sample(docs, labels.filter(learn(F.col("doc_id"))))
-    grammar = Grammar(learn_lexicon(known))
+    learnable = labels.filter(learn(F.col("doc_id")))
+    known, stands = sample(docs, learnable), label_weights(learnable)
+    grammar = Grammar(learn_lexicon(known, stands))
 
     def measure(batches):
         for batch in pieces(batches):
@@ -275,7 +296,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, take: float = TAKE) -> D
     rows = np.frombuffer(b"".join(found["row"].to_pylist())).reshape(found.num_rows, FEATURES)
     target = found["label"].to_numpy().astype(float)
     order = np.lexsort(np.column_stack([target, rows]).T)
-    curve = fit_curve(rows[order], target[order])
+    curve = fit_curve(
+        rows[order], target[order], stands=np.where(target[order] == 1, stands[1], stands[0])
+    )
 
     def score(batches):
         for batch in pieces(batches):

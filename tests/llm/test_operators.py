@@ -431,6 +431,22 @@ def test_toxicity_rows(odd, none, known):
     assert toxicity.toxicity(odd, known.limit(0), learn).count() == odd.count()
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample(spark, monkeypatch):
+    draw = random.Random(15)
+    rows = [(k, " ".join(words(draw, 40)), int(k % 10 == 0)) for k in range(1200)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+
+    def mean():
+        scored = toxicity.toxicity(both, both.select("doc_id", "toxic"), lambda c: c >= 0)
+        return np.mean([r["score"] for r in scored.collect()])
+
+    whole = mean()
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 80, 0: 160})
+    part = mean()
+    print(f"mean score {whole:.3f}, from a sample {part:.3f}")
+    assert abs(whole - part) < 0.04
+
+
 # passages
 
 
