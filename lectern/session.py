@@ -49,7 +49,18 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
     out = df.repartition(partitions) if partitions else df
     out.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame.staged_at = path
+    return frame
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames that `staged` gave, once all that was made of them is written."""
+    for frame in frames:
+        spark, path = frame.sparkSession, frame.staged_at
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
