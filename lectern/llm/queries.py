@@ -1,18 +1,22 @@
 """The operators over the given tables, and the SQL that checks them."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from lectern.llm import clustering, hard_negatives
 from lectern.llm.byte_bpe import encoded
 from lectern.llm.common import documents, labels
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.packing import packed
 from lectern.llm.passages import repeated_passages
+from lectern.llm.personal_data import personal_data
 from lectern.llm.quality_classifier import fold, quality
 from lectern.llm.quality_rules import check_sql, verdicts
 from lectern.llm.secrets import secrets
 from lectern.llm.simhash import near_duplicates
 from lectern.llm.token_files import round_trip
 from lectern.llm.toxicity import toxicity
+from lectern.llm.vectors import embeddings
 
 QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secrets(documents(spark, sf_dir)),
@@ -35,6 +39,11 @@ QUERIES = {
     "op9_simple8b": lambda spark, sf_dir: round_trip(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2
     ),
+    "op11_clustering": lambda spark, sf_dir: clustering.clusters(embeddings(spark, sf_dir)),
+    "op12_personal_data": lambda spark, sf_dir: personal_data(documents(spark, sf_dir)),
+    "op13_hard_negatives": lambda spark, sf_dir: hard_negatives.hard_negatives(
+        embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0, hard_negatives.relabelled()
+    ),
 }
 
 CHECKS = {
@@ -45,4 +54,6 @@ CHECKS = {
                doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
         FROM d WINDOW g AS (PARTITION BY h)
     """,
+    "op11_clustering": clustering.check_sql(),
+    "op13_hard_negatives": hard_negatives.check_sql(),
 }
