@@ -15,6 +15,7 @@ from lectern.operators import (
     maintain, pool, recommend, scoring, search_index, signals,
 )
 from lectern.operators.colikes import peer_scores
+from lectern.operators.shelves import reader_wishes
 from lectern.plans.given import AS_OF, Given
 from lectern.session import shared_folder, staged
 from lectern.sources import articles, calendars, tables, vocab
@@ -133,7 +134,7 @@ def ingest_new_papers(g):
 
 @query
 def recent_pool(g):
-    return pool.recent_pool(g.papers, AS_OF).select("id", "position", "pub_date", "fetched_at")
+    return pool.pool_order(pool.recent_pool(g.papers, AS_OF))
 
 
 @query
@@ -499,7 +500,7 @@ def content_score(g):
     """Pairs with a keyword match; every other pair has 0."""
     recent = _pool(g)
     facets = signals.profile_facets(g.stored("profiles")).where("facet = 'keyword'")
-    postings = signals.keyword_postings(facets, recent, recent)
+    postings = signals.keyword_postings(facets, recent)
     pairs = signals.gathered(signals.matches(facets, postings))
     return pairs.select(
         "user_id", "paper_id",
@@ -512,9 +513,11 @@ def behaviour_score(g):
     """Pairs that agree with a reader's history in something; every other pair has 0."""
     recent = _pool(g)
     visits = feedback.dwelt(feedback.recent_reads(g.read_history))
-    facets = signals.history_facets(g.feedbacks, visits, recent)
-    postings = signals.history_postings(recent).union(
-        signals.keyword_postings(None, recent, recent)
+    facets = staged(signals.history_facets(g.feedbacks, visits, recent), "facets")
+    postings = (
+        signals.history_postings(recent)
+        .union(signals.journal_postings(recent))
+        .union(signals.keyword_postings(facets, recent))
     )
     pairs = signals.gathered(signals.matches(facets, postings))
     score = scoring.behaviour_score(
@@ -547,15 +550,19 @@ def temporal_score(g):
 
 @query
 def hybrid_score(g):
-    """All parts of the score for unseen pairs with a signal."""
+    """All parts of the score for unseen pairs with evidence of their own."""
     recent = _pool(g)
     targets = pool.recommendable(recent)
     reads = feedback.recent_reads(g.stored("read_history"))
     votes = g.stored("feedbacks")
-    pairs = recommend.signal_pairs(g.stored("profiles"), votes, reads, recent, targets)
+    facets = recommend.reader_facets(g.stored("profiles"), votes, reads, recent)
     seen = feedback.seen_papers(votes, reads)
-    scored = scoring.scored(pairs, targets, AS_OF)
-    return scored.join(seen, ["user_id", "paper_id"], "left_anti").select(
+    articles = recommend.shelf_articles(targets)
+    keywords = recommend.keyword_postings(facets, targets)
+    pairs = recommend.evidence_pairs(facets, keywords, votes, seen, targets)
+    wishes = reader_wishes(facets, recommend.journals_of(articles))
+    scored = scoring.scored(recommend.described(pairs, articles, wishes), AS_OF)
+    return scored.select(
         "user_id", "paper_id", "content", "behaviour", "collaborative",
         six_digits(F.col("temporal")).alias("temporal"), "score",
     )
@@ -802,7 +809,7 @@ def paper_text(g):
     return g.papers.select(
         "id",
         text.reading_minutes(abstract).alias("minutes"),
-        text.highlighted(title, F.slice("keywords", 1, 3)).alias("marked"),
+        text.highlighted(title, F.col("keywords")).alias("marked"),
         text.author_list(F.col("authors"), 1).alias("first_author"),
         text.citation(F.col("authors"), title, F.col("journal"), F.coalesce("pub_date", F.lit("2000-01-01").cast("date")), F.col("pmid")).alias("citation"),
         text.titled_code(F.col("study_type")).alias("titled"),

@@ -206,8 +206,8 @@ GROUP BY paper_id, term, weight""",
 check(
     "recent_pool",
     """SELECT id, position, pub_date, fetched_at FROM (
-  SELECT *, CAST(row_number() OVER (ORDER BY pub_date DESC NULLS FIRST, id) AS INT) AS position
-  FROM papers WHERE fetched_at >= TIMESTAMP '2024-01-01') t WHERE position <= 500""",
+  SELECT *, row_number() OVER (ORDER BY pub_date DESC NULLS FIRST, id) AS position
+  FROM papers WHERE fetched_at >= TIMESTAMP '2024-01-01') t""",
 )
 
 # --- feedback, reads, collections ---------------------------------------------------------------------
@@ -444,7 +444,7 @@ _SCORING = {
     "pool": """
   SELECT *, lower(title) AS low_title, lower(abstract) AS low_abstract, lower(journal) AS low_journal
   FROM (SELECT *, row_number() OVER (ORDER BY pub_date DESC NULLS FIRST, id) AS position
-        FROM papers WHERE fetched_at >= TIMESTAMP '2024-01-01') t WHERE position <= 500""",
+        FROM papers WHERE fetched_at >= TIMESTAMP '2024-01-01') t""",
     "targets": f"""
   SELECT * FROM pool WHERE paper_type NOT IN {_in(vocab.BATCH_SKIPPED_PAPER_TYPES)}
     AND NOT {_any("low_title", vocab.BATCH_SKIPPED_TITLES)} AND length(abstract) >= 100""",
@@ -529,8 +529,8 @@ _SCORING = {
     c.matched, c.matched_list, b.authors, b.liked_terms, b.n_authors, b.dwell_terms,
     coalesce(b.dwell_journal, false) AS dwell_journal, w.user_id IS NOT NULL AS wanted_journal,
     list_contains(p.preferred_study_types, t.study_type) AS wanted_type,
-    c.user_id IS NOT NULL OR b.user_id IS NOT NULL OR s.user_id IS NOT NULL OR w.user_id IS NOT NULL
-      OR list_contains(p.preferred_study_types, t.study_type) AS prompted,
+    c.user_id IS NOT NULL OR s.user_id IS NOT NULL OR coalesce(b.liked_terms, 0) > 0
+      OR coalesce(b.n_authors, 0) > 0 OR coalesce(b.disliked, 0) > 0 OR coalesce(b.dwell_terms, 0) > 0 AS prompted,
     (coalesce(c.hundredths, 0) + CASE WHEN w.user_id IS NULL THEN 0 ELSE 30 END) / 100e0 AS content,
     coalesce(b.behaviour, 0e0) AS behaviour, coalesce(s.collaborative, 0e0) AS collaborative,
     {_TEMPORAL} AS temporal
@@ -589,7 +589,7 @@ SELECT user_id, paper_id, score, rank, DATE '2024-01-31' AS rec_date,
       CASE WHEN wanted_type THEN concat('keyword:', CASE study_type WHEN 'rct' THEN 'Rct'
         WHEN 'ai_ml' THEN 'Ai Ml' WHEN 'biomarker' THEN 'Biomarker' WHEN 'review' THEN 'Review' END) END
     ], lambda r: r IS NOT NULL)), 1, 5), ' | ') AS reasons,
-  coalesce(matched, '') AS matched
+  coalesce(array_to_string(list_slice(matched_list, 1, 10), '; '), '') AS matched
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, position) AS INT) AS rank
       FROM final WHERE score > 0) t
 WHERE rank <= 5""",
@@ -599,7 +599,7 @@ _INSTANT = {
     "pool": """
   SELECT *, lower(title) AS low_title, lower(abstract) AS low_abstract, lower(journal) AS low_journal
   FROM (SELECT *, row_number() OVER (ORDER BY pub_date DESC NULLS FIRST, id) AS position
-        FROM papers WHERE fetched_at >= TIMESTAMP '2023-12-31') t WHERE position <= 300""",
+        FROM papers WHERE fetched_at >= TIMESTAMP '2023-12-31') t""",
     "targets": f"""
   SELECT * FROM pool WHERE NOT {_any("low_title", vocab.INSTANT_SKIPPED_TITLES)} AND length(abstract) >= 100""",
     "kw_points": r"""

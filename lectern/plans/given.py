@@ -17,6 +17,10 @@ from lectern.sources import vocab
 
 AS_OF = "2024-01-30 23:59:59"
 
+#: An article's keywords are all words of its text with so many letters; a reader's are those of
+#: one article.
+KEYWORD_LETTERS = 10
+
 JOURNALS = vocab.CORE_JOURNALS + vocab.ONCOLOGY_JOURNALS[:4]
 
 TITLE_ENDING = """CASE doc_id % 29 WHEN 3 THEN ' Reply to the authors' WHEN 5 THEN ': a review'
@@ -110,7 +114,7 @@ class Given:
         words = F.split(
             F.regexp_replace(F.lower("text"), r"[^a-z \n\t\r]", ""), r"[ \n\t\r]+"
         )
-        long_words = F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))
+        long_words = F.array_distinct(F.filter(words, lambda w: F.length(w) >= KEYWORD_LETTERS))
         journal = F.element_at(
             F.array(*[F.lit(j) for j in JOURNALS]),
             F.expr("CAST(substr(source, 4) AS INT) + 1"),
@@ -125,7 +129,7 @@ class Given:
             journal.alias("journal"),
             _spark(PUB_DATE).alias("pub_date"),
             F.coalesce(_spark(MESH_TERMS), no_terms).alias("mesh_terms"),
-            F.slice(long_words, 1, 6).alias("keywords"),
+            long_words.alias("keywords"),
             F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('10.1000/', doc_id) END").alias("doi"),
             _spark(PAPER_TYPE).alias("paper_type"),
             _spark(STUDY_TYPE).alias("study_type"),
@@ -146,7 +150,7 @@ class Given:
         liked_by_field = F.col("c_custkey") * 7 % self.n_documents
         customers = self.table("customer").withColumn("source_id", liked_by_field)
         terms = self.papers.select(
-            F.col("id").alias("source_id"), F.slice("keywords", 1, 3).alias("keywords")
+            F.col("id").alias("source_id"), "keywords"
         )
         names = F.array(*[F.lit(j) for j in JOURNALS])
         own = F.element_at(names, F.expr("CAST(c_custkey % 20 AS INT) + 1"))
@@ -205,7 +209,7 @@ class Given:
             F.col("event_id").alias("id"),
             "user_id",
             "paper_id",
-            F.expr("CAST(floor(least(value, 300)) AS INT)").alias("dwell_seconds"),
+            F.expr("CAST(floor(value) AS INT)").alias("dwell_seconds"),
             F.col("ts").alias("clicked_at"),
         )
 
@@ -238,15 +242,14 @@ def _list(values) -> str:
 
 CTES = {
     "n_docs": "SELECT count(*) AS n FROM documents",
-    "paper_terms": r"""
+    "paper_terms": rf"""
   SELECT paper_id, term, row_number() OVER (PARTITION BY paper_id ORDER BY p0) AS ord
   FROM (SELECT paper_id, term, min(pos) AS p0
         FROM (SELECT doc_id AS paper_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term
               FROM (SELECT doc_id, regexp_split_to_array(
                       regexp_replace(lower(text), '[^a-z \n\t\r]', '', 'g'), '[ \n\t\r]+') AS w
                     FROM documents) s0) s1
-        WHERE length(term) >= 4 GROUP BY paper_id, term) s2
-  QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY p0) <= 6""",
+        WHERE length(term) >= {KEYWORD_LETTERS} GROUP BY paper_id, term) s2""",
     "papers": f"""
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS pmid,
     concat(regexp_extract(text, '^[^.\\n]*'), {TITLE_ENDING}) AS title,
@@ -270,7 +273,7 @@ CTES = {
   UNION SELECT id, lower(unnest(mesh_terms)) FROM papers""",
     "user_keywords": """
   SELECT c.c_custkey AS user_id, t.term, t.ord FROM customer c, n_docs
-  JOIN paper_terms t ON t.paper_id = c.c_custkey * 7 % n AND t.ord <= 3""",
+  JOIN paper_terms t ON t.paper_id = c.c_custkey * 7 % n""",
     "profiles": f"""
   SELECT c_custkey AS id, c_name AS name, c_mktsegment AS institution,
     CASE WHEN c_custkey % 5 = 0 THEN list_value('urology', {_list(JOURNALS)}[c_custkey % 20 + 1])
@@ -292,7 +295,7 @@ CTES = {
   QUALIFY row_number() OVER (PARTITION BY user_id, paper_id ORDER BY ts DESC, event_id DESC) = 1""",
     "read_history": """
   SELECT event_id AS id, user_id, paper_id,
-    CAST(floor(least(value, 300)) AS INT) AS dwell_seconds, ts AS clicked_at
+    CAST(floor(value) AS INT) AS dwell_seconds, ts AS clicked_at
   FROM ev WHERE event_type IN ('view', 'click')""",
     "recommendations": """
   SELECT user_id, paper_id, CAST(ts AS DATE) AS rec_date, max(value) AS score
