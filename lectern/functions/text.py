@@ -136,9 +136,9 @@ def doi_url(doi: Column) -> Column:
 
 
 def text_or_array(value: Column) -> Column:
-    """A JSON text holding an array of strings as an array; anything else as []."""
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.from_json(value, "array<string>"), empty)
+    """A JSON text holding an array of plain values as an array; anything else as []."""
+    parsed = F.try_variant_get(F.try_parse_json(value), "$", "array<string>")
+    return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
 def array_or_empty(value: Column) -> Column:

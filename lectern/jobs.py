@@ -9,7 +9,7 @@ from lectern.functions.dates import kst_date, moment
 from lectern.operators import classify, digest, ingest, maintain, recommend
 from lectern.session import staged
 from lectern.sources.articles import article_metadata, read_articles
-from lectern.sources.tables import append_rows, read_table, replace_table
+from lectern.sources.tables import append_rows, patch_rows, read_table
 
 
 def ingest_articles(spark: SparkSession, root: str, xml_path: str, as_of) -> DataFrame:
@@ -38,7 +38,7 @@ def reclassify(spark: SparkSession, root: str, xml_path: str) -> DataFrame:
     papers = read_table(spark, root, "papers")
     metadata = last_of_each(article_metadata(read_articles(spark, xml_path)))
     changes = staged(classify.reclassified(classify.unclassified(papers), metadata), "changes")
-    replace_table(classify.with_classification(papers, changes), root, "papers")
+    patch_rows(changes, root, "papers", ["study_type", "topic_tags", "mesh_terms"])
     return classify.classification_summary(changes)
 
 

@@ -1,91 +1,103 @@
-"""Constraint audit: storage constraints of the tables as one violations table."""
+"""Constraint audit: storage constraints of the tables as one violations table.
+
+The rules are data. Rules that look at one row are tested together in one pass over a table;
+keys and references are counted per value first, and the values then meet their parents.
+"""
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from lectern.operators.maintain import REFERENCES
 from lectern.sources import vocab
 
+#: Columns that name a row in the report of rules on single rows.
+ROW_KEY = {
+    "papers": "id", "profiles": "id", "feedbacks": "paper_id", "read_history": "paper_id",
+    "recommendations": "paper_id", "collections": "id", "collection_papers": "paper_id",
+    "alerts": "id",
+}
+UNIQUE = {
+    "papers": [["id"], ["pmid"]],
+    "profiles": [["id"]],
+    "feedbacks": [["user_id", "paper_id"]],
+    "collections": [["id"]],
+    "collection_papers": [["collection_id", "paper_id"]],
+    "alerts": [["id"]],
+}
+NOT_NULL = {
+    "papers": ["pmid", "title"],
+    "recommendations": ["score", "rec_date"],
+    "collections": ["name"],
+    "alerts": ["value"],
+}
+DOMAIN = {
+    "profiles": {"digest_frequency": vocab.DIGEST_FREQUENCIES},
+    "feedbacks": {"action": vocab.FEEDBACK_ACTIONS},
+    "alerts": {"alert_type": vocab.ALERT_TYPES},
+}
+RESULT = "table_name string, rule string, key string, n bigint"
 
-def _violations(rows: DataFrame, table: str, rule: str, key, n=None) -> DataFrame:
-    return rows.select(
-        F.lit(table).alias("table_name"),
-        F.lit(rule).alias("rule"),
-        key.cast("string").alias("key"),
-        (F.lit(1) if n is None else n).cast("bigint").alias("n"),
-    )
+
+def row_violations(df: DataFrame, table: str) -> DataFrame | None:
+    """Rules on single rows, all in one pass; rules on columns that are not there are left out."""
+    broken = [
+        F.when(F.col(c).isNull(), F.lit(f"not_null({c})"))
+        for c in NOT_NULL.get(table, [])
+        if c in df.columns
+    ]
+    broken += [
+        F.when(F.col(c).isNotNull() & ~F.col(c).isin(domain), F.lit(f"domain({c})"))
+        for c, domain in DOMAIN.get(table, {}).items()
+        if c in df.columns
+    ]
+    if not broken:
+        return None
+    rules = F.filter(F.array(*broken), lambda rule: rule.isNotNull())
+    key = F.col(ROW_KEY[table]).cast("string")
+    return df.select(
+        F.lit(table).alias("table_name"), F.explode(rules).alias("rule"), key.alias("key"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
 
 
 def duplicates(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    counted = df.groupBy(*columns).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     rule = "unique(" + ",".join(columns) + ")"
-    return _violations(counted, table, rule, F.concat_ws("/", *columns), F.col("_n"))
-
-
-def orphans(df: DataFrame, table: str, column: str, parent: DataFrame, parent_key="id"):
-    """References without a parent, one row per missing parent."""
-    wanted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    known = parent.select(F.col(parent_key).alias(column)).distinct()
-    missing = wanted.join(known, column, "left_anti")
-    return _violations(missing, table, f"reference({column})", F.col(column), F.col("_n"))
+    key = F.concat_ws("/", *columns).cast("string")
+    return counted.select(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("key"), "n"
+    )
 
 
-def outside(df: DataFrame, table: str, column: str, domain: list[str], key: str) -> DataFrame:
-    bad = df.where(F.col(column).isNotNull() & ~F.col(column).isin(domain))
-    return _violations(bad, table, f"domain({column})", F.col(key))
+def orphans(df: DataFrame, table: str, column: str, parent: DataFrame) -> DataFrame:
+    """References without a parent, one row per missing parent.
 
+    References are counted before they meet the parents, so a popular parent is one row.
+    """
+    wanted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    missing = wanted.join(parent.select(F.col("id").alias(column)), column, "left_anti")
+    return missing.select(
+        F.lit(table).alias("table_name"), F.lit(f"reference({column})").alias("rule"),
+        F.col(column).cast("string").alias("key"), "n",
+    )
 
-def missing(df: DataFrame, table: str, column: str, key: str) -> DataFrame:
-    return _violations(df.where(F.col(column).isNull()), table, f"not_null({column})", F.col(key))
 
+def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rule, key, n) of all violations in the tables given.
 
-def constraint_audit(
-    papers, profiles, feedbacks, reads=None, recommendations=None,
-    collections=None, members=None, alerts=None,
-) -> DataFrame:
-    """All violations of the tables given; the others are left out."""
-    found = [
-        duplicates(papers, "papers", ["id"]),
-        duplicates(papers, "papers", ["pmid"]),
-        missing(papers, "papers", "pmid", "id"),
-        missing(papers, "papers", "title", "id"),
-        duplicates(profiles, "profiles", ["id"]),
-        duplicates(feedbacks, "feedbacks", ["user_id", "paper_id"]),
-        orphans(feedbacks, "feedbacks", "paper_id", papers),
-        orphans(feedbacks, "feedbacks", "user_id", profiles),
-        outside(feedbacks, "feedbacks", "action", vocab.FEEDBACK_ACTIONS, "paper_id"),
-    ]
-    if "digest_frequency" in profiles.columns:
-        found.append(
-            outside(profiles, "profiles", "digest_frequency", vocab.DIGEST_FREQUENCIES, "id")
-        )
-    for name, table in (("read_history", reads), ("recommendations", recommendations)):
-        if table is not None:
-            found += [
-                orphans(table, name, "paper_id", papers),
-                orphans(table, name, "user_id", profiles),
-            ]
-    if recommendations is not None:
-        found += [
-            missing(recommendations, "recommendations", "score", "paper_id"),
-            missing(recommendations, "recommendations", "rec_date", "paper_id"),
-        ]
-    if collections is not None:
-        found += [
-            orphans(collections, "collections", "user_id", profiles),
-            missing(collections, "collections", "name", "id"),
-        ]
-    if members is not None:
-        found += [
-            duplicates(members, "collection_papers", ["collection_id", "paper_id"]),
-            orphans(members, "collection_papers", "paper_id", papers),
-        ]
-        if collections is not None:
-            found.append(orphans(members, "collection_papers", "collection_id", collections))
-    if alerts is not None:
+    References to tables that are not given are not tested. Missing values refer to nothing.
+    """
+    found = []
+    for name, df in tables.items():
+        found += [duplicates(df, name, columns) for columns in UNIQUE.get(name, [])]
         found += [
-            outside(alerts, "alerts", "alert_type", vocab.ALERT_TYPES, "id"),
-            missing(alerts, "alerts", "value", "id"),
-            orphans(alerts, "alerts", "user_id", profiles),
+            orphans(df, name, column, tables[parent])
+            for column, parent in REFERENCES[name].items()
+            if parent in tables
         ]
+        rows = row_violations(df, name)
+        found += [] if rows is None else [rows]
+    if not found:
+        raise ValueError("no table to audit")
     return reduce(DataFrame.unionByName, found)

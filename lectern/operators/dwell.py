@@ -76,13 +76,14 @@ def dwell_sessions(pulses: DataFrame, idle: int = IDLE_SECONDS) -> DataFrame:
     """Views that end after `idle` seconds without a pulse; works on a table and a stream.
 
     `ts` is a timestamp with time zone, as watermarks need. A session ends `idle` seconds
-    after its last pulse, so the idle time is counted.
+    after its last pulse, so the idle time is counted. Pulses without a user make sessions of
+    no pulses.
     """
     return (
         pulses.groupBy(
             "user_id", "paper_id", F.session_window("ts", f"{idle} seconds").alias("view")
         )
-        .agg(F.count("*").alias("pulses"))
+        .agg(F.count("user_id").alias("pulses"))
         .select(
             "user_id",
             "paper_id",

@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import array_or_empty
-from lectern.session import path_exists, staged
+from lectern.session import dropped, path_exists, remove_path, staged
 from lectern.sources import vocab
+from lectern.sources.tables import owned_by, patched, replace_parts
 
 PROFILE_FIELDS = [
     "name", "institution", "keywords", "preferred_journals", "preferred_study_types",
@@ -12,18 +13,6 @@ PROFILE_FIELDS = [
 ]
 
 
-def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """`base` with the non-null fields of `patch` (one row per key) put in."""
-    given = patch.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
-    joined = base.join(given, key, "left")
-    return joined.select(
-        *[
-            F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c)
-            for c in base.columns
-        ]
-    )
-
-
 def clean_tags(tags: Column) -> Column:
     """Trimmed, non-empty, unique tags in the order they were added."""
     trimmed = F.transform(tags, lambda t: F.trim(t))
@@ -82,41 +71,57 @@ def without(table: DataFrame, column: str, deleted: DataFrame) -> DataFrame:
     return table.join(ids, F.col(column) == F.col("_id"), "left_anti")
 
 
-def cascade_user_delete(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
-    """All tables after the accounts in `users` are gone.
+#: What each column refers to, parents before their children.
+REFERENCES = {
+    "profiles": {},
+    "papers": {},
+    "collections": {"user_id": "profiles"},
+    "collection_papers": {"collection_id": "collections", "paper_id": "papers"},
+    "feedbacks": {"user_id": "profiles", "paper_id": "papers"},
+    "read_history": {"user_id": "profiles", "paper_id": "papers"},
+    "recommendations": {"user_id": "profiles", "paper_id": "papers"},
+    "alerts": {"user_id": "profiles"},
+}
+
+
+def cascade_delete(
+    tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """All tables after the rows of `deleted` (table -> ids) are gone, with all that refers to them.
 
-    Children named by user lose their rows; members of the users' collections go with the
-    collections.
+    Walks the references from parents to children. What a child loses is in turn deleted for its
+    own children, by id. Tables and parents that are not given lose nothing.
     """
+    gone = {name: ids.select(F.col(ids.columns[0]).alias("id")) for name, ids in deleted.items()}
     kept = {}
-    for name, table in tables.items():
-        if name == "profiles":
-            kept[name] = without(table, "id", users)
-        elif "user_id" in table.columns:
-            kept[name] = without(table, "user_id", users)
-        else:
-            kept[name] = table
-    if "collection_papers" in tables and "collections" in tables:
-        gone = tables["collections"].join(
-            users.select(F.col(users.columns[0]).alias("user_id")), "user_id", "left_semi"
-        )
-        kept["collection_papers"] = without(
-            tables["collection_papers"], "collection_id", gone.select("id")
-        )
-    return kept
+    for name, references in REFERENCES.items():
+        if name not in tables:
+            continue
+        table = kept[name] = tables[name]
+        if name in gone:
+            kept[name] = without(kept[name], "id", gone[name])
+        for column, parent in references.items():
+            if parent not in gone:
+                continue
+            kept[name] = without(kept[name], column, gone[parent])
+            if any(name in other.values() for other in REFERENCES.values()):
+                ids = gone[parent].select(F.col("id").alias(column))
+                lost = table.join(ids, column, "left_semi").select("id")
+                gone[name] = gone[name].union(lost) if name in gone else lost
+    return {name: kept.get(name, table) for name, table in tables.items()}
+
+
+def cascade_user_delete(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
+    return cascade_delete(tables, {"profiles": users})
 
 
 def cascade_paper_delete(tables: dict[str, DataFrame], papers: DataFrame) -> dict[str, DataFrame]:
-    return {
-        name: without(table, "id" if name == "papers" else "paper_id", papers)
-        if name == "papers" or "paper_id" in table.columns
-        else table
-        for name, table in tables.items()
-    }
+    return cascade_delete(tables, {"papers": papers})
 
 
 def cascade_collection_delete(collections, members, deleted):
-    return without(collections, "id", deleted), without(members, "collection_id", deleted)
+    given = {"collections": collections, "collection_papers": members}
+    return tuple(cascade_delete(given, {"collections": deleted}).values())
 
 
 def default_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -192,10 +197,26 @@ def collection_listing(collections, members, papers) -> DataFrame:
 
 def members_of_user(members: DataFrame, collections: DataFrame, user) -> DataFrame:
     """Collection rows a user may see: the collection belongs to them."""
-    own = collections.where(F.col("user_id") == user).select(F.col("id").alias("collection_id"))
+    own = owned_by(collections, user).select(F.col("id").alias("collection_id"))
     return members.join(own, "collection_id", "left_semi")
 
 
+def replace_days(picks: DataFrame, path: str, days: list[str]) -> None:
+    """Write the recommendations of `days` in place of what was there; other days stay.
+
+    `picks` have a rec_date, and rows of other days are not written. Days with picks are replaced
+    together, by one job; the folders of days without any are then removed.
+    """
+    spark = picks.sparkSession
+    dates = [F.lit(d).cast("date") for d in days]
+    rows = staged(picks.where(F.col("rec_date").isin(*dates)), "days")
+    replace_parts(rows, path, "rec_date")
+    filled = {str(r[0]) for r in rows.select("rec_date").distinct().collect()}
+    for day in set(days) - filled:
+        remove_path(spark, f"{path}/rec_date={day}")
+    dropped(rows)
+
+
 def replace_day(picks: DataFrame, path: str, rec_date: str, users: DataFrame | None = None):
     """Write one day of recommendations in place of what was there for these users.
 

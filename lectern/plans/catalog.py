@@ -5,7 +5,7 @@ be compared on plain columns.
 """
 
 import uuid
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,11 +15,14 @@ from lectern.operators import (
     maintain, pool, recommend, scoring, search_index, signals,
 )
 from lectern.operators.colikes import peer_scores
+from lectern.operators.counters import RunCounters
 from lectern.operators.shelves import reader_wishes
 from lectern.plans.given import AS_OF, Given
 from lectern.session import shared_folder, staged
 from lectern.sources import articles, calendars, tables, vocab
-from lectern.streaming.dwell import stream_dwell_sessions, write_sessions
+from lectern.streaming.dwell import (
+    close_sessions, stream_dwell_sessions, with_marks, write_sessions,
+)
 from lectern.streaming.feedback import FeedbackState, follow_feedback
 
 QUERIES: dict = {}
@@ -34,6 +37,10 @@ def query(function):
     return run
 
 
+#: The product looks at so many newest reads of a reader.
+READS_CONSIDERED = 200
+
+
 def _run_id() -> str:
     return uuid.uuid4().hex
 
@@ -120,18 +127,22 @@ def article_metadata(g):
 # --- ingest and classification ------------------------------------------------------------
 
 
-@query
-def ingest_new_papers(g):
+def _new_articles(g, counters=None):
     columns = ["id", "pmid", "title", "abstract", "journal", "pub_date", "pub_types"]
     own = g.papers.select(*columns)
     listed_twice = own.unionByName(own.withColumn("journal", F.lit("Lancet")))
     found = ingest.found_by_search(listed_twice, AS_OF, days=365)
     stored = g.table("labels").select(F.col("doc_id").cast("string").alias("pmid"))
-    return ingest.new_articles(found, stored).select(
+    return ingest.new_articles(found, stored, counters).select(
         "pmid", "journal", "search_order", "paper_type", "study_type", "pub_date"
     )
 
 
+@query
+def ingest_new_papers(g):
+    return _new_articles(g)
+
+
 @query
 def recent_pool(g):
     return pool.pool_order(pool.recent_pool(g.papers, AS_OF))
@@ -175,6 +186,12 @@ def unclassified_page(g):
     return page.select("id", "pmid", "fetched_at")
 
 
+@query
+def unclassified_second_page(g):
+    page = tables.newest_page(classify.unclassified(g.papers), "fetched_at", 20, 1)
+    return page.select("id", "pmid", "fetched_at")
+
+
 @query
 def classify_backlog(g):
     stored = g.papers.select(
@@ -187,6 +204,20 @@ def classify_backlog(g):
     )
 
 
+@query
+def patch_by_id(g):
+    """The backlog classified in the stored papers table, and the table read back."""
+    root = f"{shared_folder(g.spark)}/tables-{_run_id()}"
+    tables.append_rows(g.papers.drop("summary_ko", "qa_data"), root, "papers")
+    fields = ["study_type", "topic_tags", "mesh_terms"]
+    tables.patch_rows(staged(_reclassified(g), "changes"), root, "papers", fields)
+    return tables.read_table(g.spark, root, "papers").select(
+        "id", "study_type",
+        joined(F.col("mesh_terms")).alias("mesh_terms"),
+        joined(F.col("topic_tags")).alias("topic_tags"),
+    )
+
+
 @query
 def classification_summary(g):
     return classify.classification_summary(_reclassified(g))
@@ -301,7 +332,7 @@ def read_append(g):
 
 @query
 def recent_reads(g):
-    return feedback.recent_reads(g.read_history, 10)
+    return feedback.recent_reads(g.read_history, READS_CONSIDERED)
 
 
 @query
@@ -317,13 +348,15 @@ def dwell_batch(g):
 
 @query
 def dwell_stream(g):
-    """The event folder as a pulse stream with a two-hour idle time."""
+    """The event folder as a pulse stream with a two-hour idle time, closed at its end."""
     schema = g.table("events").schema
     stream = g.spark.readStream.schema(schema).parquet(f"{g.sf_dir}/event[s].parquet")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     pulses = stream.select("user_id", (k % 5).alias("paper_id"), "ts")
     run = f"{shared_folder(g.spark)}/dwell-{_run_id()}"
-    sessions = stream_dwell_sessions(pulses, idle=7200)
+    sessions = stream_dwell_sessions(with_marks(pulses, f"{run}/marks"), idle=7200)
+    write_sessions(sessions, f"{run}/sessions", f"{run}/checkpoint").awaitTermination()
+    close_sessions(g.table("events"), f"{run}/marks", idle=7200)
     write_sessions(sessions, f"{run}/sessions", f"{run}/checkpoint").awaitTermination()
     stored = g.spark.read.schema(sessions.schema).parquet(f"{run}/sessions")
     ntz = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
@@ -424,6 +457,51 @@ def cascade_paper_delete(g):
     return kept["feedbacks"].select("user_id", "paper_id", "action")
 
 
+def _all_tables(g):
+    """The eight tables with the columns that name and join their rows."""
+    alerts = _requests(g).withColumn("value", F.when(F.col("id") % 9 > 0, F.col("value")))
+    return {
+        "papers": g.papers.select("id", "pmid", "title", "paper_type"),
+        "profiles": g.readers.select("id"),
+        "collections": _own_collections(g),
+        "collection_papers": _own_members(g),
+        "feedbacks": g.feedbacks,
+        "read_history": g.read_history,
+        "recommendations": g.recommendations,
+        "alerts": alerts,
+    }
+
+
+@query
+def cascade_graph(g):
+    """Readers in debt, letters and collections of clicks deleted: all that is left, by row."""
+    given = _all_tables(g)
+    kept = maintain.cascade_delete(
+        given,
+        {
+            "profiles": _in_debt(g),
+            "papers": given["papers"].where("paper_type = 'letter'").select("id"),
+            "collections": given["collections"].where("name = 'click'").select("id"),
+        },
+    )
+    keys = {
+        "papers": ("id", "pmid"), "profiles": ("id", "id"), "collections": ("id", "user_id"),
+        "collection_papers": ("collection_id", "paper_id"), "feedbacks": ("user_id", "paper_id"),
+        "read_history": ("id", "paper_id"), "recommendations": ("user_id", "paper_id"),
+        "alerts": ("id", "user_id"),
+    }
+    rows = [
+        kept[name].select(
+            F.lit(name).alias("table_name"), F.col(a).cast("string").alias("first"),
+            F.col(b).cast("string").alias("second"),
+        )
+        for name, (a, b) in keys.items()
+    ]
+    return reduce(DataFrame.union, rows).groupBy("table_name", "first", "second").agg(
+        F.count("*").alias("n")
+    )
+
+
 def _requests(g):
     return g.events.where("event_type = 'click'").select(
         F.col("event_id").alias("id"), "user_id",
@@ -461,8 +539,30 @@ def constraint_audit(g):
         "id", F.expr("CASE WHEN id % 100 = 3 THEN NULL ELSE substr(pmid, 1, 3) END").alias("pmid"),
         "title",
     )
-    reads = g.read_history.select("user_id", (F.col("paper_id") + 20).alias("paper_id"))
-    return audit.constraint_audit(stored, g.readers, log, reads=reads)
+    profiles = g.readers.select(
+        "id", F.expr("CASE id % 50 WHEN 1 THEN 'hourly' WHEN 2 THEN NULL ELSE 'daily' END").alias("digest_frequency")
+    )
+    shift = lambda table: table.withColumn("paper_id", F.col("paper_id") + 20)
+    given = _all_tables(g)
+    return audit.constraint_audit(
+        {
+            "papers": stored,
+            "profiles": profiles,
+            "feedbacks": log,
+            "read_history": shift(g.read_history.select("user_id", "paper_id")),
+            "recommendations": shift(g.recommendations).withColumn(
+                "score", F.when(F.col("score") > 1, F.col("score"))
+            ),
+            "collections": given["collections"].withColumn("user_id", F.col("user_id") + 2),
+            "collection_papers": g.events.select(
+                F.concat_ws("/", (F.col("user_id") + 1).cast("string"), "event_type").alias("collection_id"),
+                (F.col("paper_id") + 5).alias("paper_id"),
+            ),
+            "alerts": given["alerts"].withColumn(
+                "alert_type", F.when(F.col("id") % 10 == 3, F.lit("topic")).otherwise(F.col("alert_type"))
+            ),
+        }
+    )
 
 
 @query
@@ -631,10 +731,32 @@ def digest_report(g):
 
 @query
 def run_report(g):
-    return recommend.run_report(
-        g.readers, pool.recent_pool(g.papers, AS_OF), insights.likes_of(g.feedbacks),
-        g.recommendations,
+    """Counts of one ingest and one recommendation run, taken while their rows were written."""
+    counters = RunCounters()
+    staged(_new_articles(g, counters), "new-articles")
+    recommend.daily_recommendations(
+        g.stored("profiles"), g.papers, g.stored("feedbacks"), g.stored("read_history"), AS_OF,
+        counters=counters,
+    )
+    return counters.report(g.spark)
+
+
+@query
+def replace_days(g):
+    """Picks of all days stored; then one day gets others, one none, and all are read back."""
+    path = f"{shared_folder(g.spark)}/tables-{_run_id()}/recommendations"
+    picks = g.recommendations.select("user_id", "paper_id", "score", "rec_date")
+    days = [str(r[0]) for r in g.spark.sql(
+        "SELECT explode(sequence(DATE'2024-01-01', DATE'2024-02-29', INTERVAL 1 DAY))"
+    ).collect()]
+    maintain.replace_days(picks, path, days)
+    changed = ["2024-01-10", "2024-01-11"]
+    others = picks.where("rec_date = DATE'2024-01-12'").withColumn(
+        "rec_date", F.lit(changed[0]).cast("date")
     )
+    maintain.replace_days(others, path, changed)
+    stored = g.spark.read.schema("user_id bigint, paper_id bigint, score double, rec_date date")
+    return stored.parquet(path)
 
 
 # --- usage analytics -----------------------------------------------------------------------------------------
@@ -692,6 +814,14 @@ def reader_topics(g):
     return insights.reader_topics(g.feedbacks, g.read_history, g.papers)
 
 
+@query
+def reader_topics_of_text_lists(g):
+    """The same topics where one list is stored as JSON text and the other as an array."""
+    papers = g.papers.select("id", "mesh_terms", F.to_json("keywords").alias("keywords"))
+    lists = tables.normalised(papers, "keywords", "mesh_terms")
+    return insights.reader_topics(g.feedbacks, g.read_history, lists)
+
+
 @query
 def reader_study_types(g):
     top = insights.reader_study_types(g.feedbacks, g.read_history, g.papers)
@@ -811,6 +941,7 @@ def paper_text(g):
         text.reading_minutes(abstract).alias("minutes"),
         text.highlighted(title, F.col("keywords")).alias("marked"),
         text.author_list(F.col("authors"), 1).alias("first_author"),
+        text.author_list(F.col("authors"), 5).alias("authors"),
         text.citation(F.col("authors"), title, F.col("journal"), F.coalesce("pub_date", F.lit("2000-01-01").cast("date")), F.col("pmid")).alias("citation"),
         text.titled_code(F.col("study_type")).alias("titled"),
         text.label_of(F.col("study_type"), vocab.BADGE_LABELS, F.lit("Article")).alias("badge"),

@@ -87,6 +87,14 @@ _SCOPES = "SELECT * FROM (VALUES " + ", ".join(
         vocab.CORE_JOURNALS + vocab.ONCOLOGY_JOURNALS + vocab.GENERAL_JOURNALS
     )
 ) + ") v(search_order, journal, everything)"
+_LISTED = """
+  SELECT id, pmid, title, abstract, journal, pub_date FROM papers
+  UNION ALL SELECT id, pmid, title, abstract, 'Lancet', pub_date FROM papers"""
+_FOUND = rf"""
+  SELECT l.*, s.search_order FROM listed l JOIN scopes s ON s.journal = l.journal
+  WHERE pub_date BETWEEN {TODAY} - 365 AND {TODAY}
+    AND (everything OR regexp_matches(lower(concat(title, ' ', abstract)),
+         '\b({"|".join(vocab.TOPIC_WORDS)})\b'))"""
 check(
     "ingest_new_papers",
     f"""
@@ -99,14 +107,8 @@ WHERE paper_type NOT IN ('letter', 'editorial')
 QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY search_order) = 1""",
     rule_text=_RULE_TEXT,
     scopes=_SCOPES,
-    listed="""
-  SELECT id, pmid, title, abstract, journal, pub_date FROM papers
-  UNION ALL SELECT id, pmid, title, abstract, 'Lancet', pub_date FROM papers""",
-    found=rf"""
-  SELECT l.*, s.search_order FROM listed l JOIN scopes s ON s.journal = l.journal
-  WHERE pub_date BETWEEN {TODAY} - 365 AND {TODAY}
-    AND (everything OR regexp_matches(lower(concat(title, ' ', abstract)),
-         '\b({"|".join(vocab.TOPIC_WORDS)})\b'))""",
+    listed=_LISTED,
+    found=_FOUND,
 )
 
 _TERM_KIND = "SELECT * FROM (VALUES " + ", ".join(
@@ -172,6 +174,7 @@ FROM papers p LEFT JOIN typed ON typed.id = p.id LEFT JOIN tagged ON tagged.id =
     **_dictionary("backlog"),
     backlog=_BACKLOG,
 )
+CHECKS["patch_by_id"] = CHECKS["classify_backlog"]
 check(
     "classification_summary",
     "SELECT study_type, count(*) AS n FROM typed GROUP BY study_type",
@@ -183,6 +186,11 @@ check(
     """SELECT id, pmid, fetched_at FROM papers WHERE study_type IS NULL OR study_type = 'other'
 ORDER BY fetched_at DESC NULLS FIRST, id LIMIT 300""",
 )
+check(
+    "unclassified_second_page",
+    """SELECT id, pmid, fetched_at FROM papers WHERE study_type IS NULL OR study_type = 'other'
+ORDER BY fetched_at DESC NULLS FIRST, id LIMIT 20 OFFSET 20""",
+)
 check(
     "search_vector",
     f"""
@@ -277,7 +285,7 @@ FROM ev WHERE event_type IN ('view', 'click') AND floor(value) >= 10""",
 check(
     "recent_reads",
     """SELECT * FROM read_history
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY clicked_at DESC, id DESC) <= 10""",
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY clicked_at DESC, id DESC) <= 200""",
 )
 check(
     "seen_papers",
@@ -305,7 +313,7 @@ SELECT user_id, paper_id, started, ended, pulses,
               FROM (SELECT event_id, ts, user_id,
                       CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5 AS paper_id FROM events) e) a) b
   GROUP BY user_id, paper_id, run) s
-WHERE ended <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 MINUTE""",
+""",
 )
 
 # --- profiles and maintenance -----------------------------------------------------------------------------
@@ -365,6 +373,36 @@ UNION ALL SELECT 'collection_papers', collection_id, count(*) FROM own_members
     own_collections=_COLLECTIONS,
     own_members=_MEMBERS,
 )
+_ALL_REQUESTS = """
+  SELECT event_id AS id, user_id, CASE event_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'author' ELSE 'journal' END AS alert_type,
+    CASE event_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN concat(' k', paper_id, ' ') ELSE 'psa' END AS value
+  FROM ev WHERE event_type = 'click'"""
+check(
+    "cascade_graph",
+    """
+SELECT table_name, first, second, count(*) AS n FROM (
+  SELECT 'papers' AS table_name, CAST(id AS VARCHAR) AS first, pmid AS second FROM papers WHERE paper_type <> 'letter'
+  UNION ALL SELECT 'profiles', CAST(c_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT 'collections', collection_id, CAST(user_id AS VARCHAR) FROM own_collections
+    WHERE user_id NOT IN (SELECT id FROM gone) AND name <> 'click'
+  UNION ALL SELECT 'collection_papers', m.collection_id, CAST(m.paper_id AS VARCHAR) FROM own_members m
+    JOIN own_collections c USING (collection_id)
+    WHERE c.user_id NOT IN (SELECT id FROM gone) AND c.name <> 'click' AND m.paper_id NOT IN (SELECT id FROM letters)
+  UNION ALL SELECT 'feedbacks', CAST(user_id AS VARCHAR), CAST(paper_id AS VARCHAR) FROM feedbacks
+    WHERE user_id NOT IN (SELECT id FROM gone) AND paper_id NOT IN (SELECT id FROM letters)
+  UNION ALL SELECT 'read_history', CAST(id AS VARCHAR), CAST(paper_id AS VARCHAR) FROM read_history
+    WHERE user_id NOT IN (SELECT id FROM gone) AND paper_id NOT IN (SELECT id FROM letters)
+  UNION ALL SELECT 'recommendations', CAST(user_id AS VARCHAR), CAST(paper_id AS VARCHAR) FROM recommendations
+    WHERE user_id NOT IN (SELECT id FROM gone) AND paper_id NOT IN (SELECT id FROM letters)
+  UNION ALL SELECT 'alerts', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR) FROM requests
+    WHERE user_id NOT IN (SELECT id FROM gone)) t
+GROUP BY ALL""",
+    gone="SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0",
+    letters="SELECT id FROM papers WHERE paper_type = 'letter'",
+    own_collections=_COLLECTIONS,
+    own_members=_MEMBERS,
+    requests=_ALL_REQUESTS,
+)
 check(
     "cascade_paper_delete",
     """SELECT user_id, paper_id, action FROM feedbacks
@@ -403,7 +441,27 @@ SELECT * FROM (
     FROM (SELECT paper_id + 20 AS paper_id FROM read_history) r
     WHERE paper_id NOT IN (SELECT id FROM stored) GROUP BY paper_id
   UNION ALL SELECT 'read_history', 'reference(user_id)', CAST(user_id AS VARCHAR), count(*) FROM read_history
+    WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id
+  UNION ALL SELECT 'profiles', 'domain(digest_frequency)', CAST(c_custkey AS VARCHAR), 1 FROM customer WHERE c_custkey % 50 = 1
+  UNION ALL SELECT 'recommendations', 'not_null(score)', CAST(paper_id + 20 AS VARCHAR), 1 FROM recommendations WHERE score <= 1
+  UNION ALL SELECT 'recommendations', 'reference(paper_id)', CAST(paper_id + 20 AS VARCHAR), count(*) FROM recommendations
+    WHERE paper_id + 20 NOT IN (SELECT id FROM stored) GROUP BY paper_id
+  UNION ALL SELECT 'recommendations', 'reference(user_id)', CAST(user_id AS VARCHAR), count(*) FROM recommendations
+    WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id
+  UNION ALL SELECT 'collections', 'reference(user_id)', CAST(user_id + 2 AS VARCHAR), count(*) FROM own_collections
+    WHERE user_id + 2 NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id
+  UNION ALL SELECT 'collection_papers', 'unique(collection_id,paper_id)', concat(user_id + 1, '/', event_type, '/', paper_id + 5), count(*)
+    FROM ev GROUP BY user_id, event_type, paper_id HAVING count(*) > 1
+  UNION ALL SELECT 'collection_papers', 'reference(collection_id)', concat(user_id + 1, '/', event_type), count(*) FROM ev
+    WHERE concat(user_id + 1, '/', event_type) NOT IN (SELECT collection_id FROM own_collections) GROUP BY user_id, event_type
+  UNION ALL SELECT 'collection_papers', 'reference(paper_id)', CAST(paper_id + 5 AS VARCHAR), count(*) FROM ev
+    WHERE paper_id + 5 NOT IN (SELECT id FROM stored) GROUP BY paper_id
+  UNION ALL SELECT 'alerts', 'domain(alert_type)', CAST(id AS VARCHAR), 1 FROM requests WHERE id % 10 = 3
+  UNION ALL SELECT 'alerts', 'not_null(value)', CAST(id AS VARCHAR), 1 FROM requests WHERE id % 9 = 0
+  UNION ALL SELECT 'alerts', 'reference(user_id)', CAST(user_id AS VARCHAR), count(*) FROM requests
     WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id) t""",
+    own_collections=_COLLECTIONS,
+    requests=_ALL_REQUESTS,
     stored="""
   SELECT doc_id AS id, CASE WHEN doc_id % 100 = 3 THEN NULL
     ELSE substr(CAST(doc_id AS VARCHAR), 1, 3) END AS pmid FROM documents""",
@@ -678,13 +736,28 @@ FROM profiles p LEFT JOIN (SELECT DISTINCT user_id FROM recommendations WHERE re
   ON r.user_id = p.id
 WHERE email_digest""",
 )
+_FLOW = {"rule_text": _RULE_TEXT, "scopes": _SCOPES, "listed": _LISTED, "found": _FOUND}
 check(
     "run_report",
+    f"""
+SELECT (SELECT count(*) FROM found) AS found,
+  (SELECT count(*) FROM unknown) AS unknown, (SELECT count(*) FROM good) AS valid,
+  (SELECT count(DISTINCT pmid) FROM good) AS new, (SELECT count(*) FROM pool) AS pool,
+  (SELECT count(*) FROM final WHERE prompted) AS scored,
+  (SELECT sum(least(n, 5))::BIGINT FROM (SELECT count(*) AS n FROM final WHERE score > 0 GROUP BY user_id)) AS picked""",
+    unknown="SELECT * FROM found WHERE pmid NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)",
+    good=f"""
+  SELECT f.pmid FROM unknown f JOIN rule_text r ON r.id = f.id
+  WHERE f.pmid <> '' AND f.title <> '' AND f.abstract <> '' AND {_PAPER_TYPE} NOT IN ('letter', 'editorial')""",
+    **_FLOW,
+    **_SCORING,
+)
+check(
+    "replace_days",
     """
-SELECT (SELECT count(*) FROM customer) AS users,
-  least(500, (SELECT count(*) FROM papers WHERE fetched_at >= TIMESTAMP '2024-01-01')) AS pool,
-  (SELECT count(*) FROM feedbacks WHERE action = 'like') AS likes,
-  (SELECT count(*) FROM recommendations) AS picks""",
+SELECT user_id, paper_id, score, rec_date FROM recommendations
+WHERE rec_date NOT IN (DATE '2024-01-10', DATE '2024-01-11')
+UNION ALL SELECT user_id, paper_id, score, DATE '2024-01-10' FROM recommendations WHERE rec_date = DATE '2024-01-12'""",
 )
 
 # --- usage analytics ---------------------------------------------------------------------------------------------------
@@ -782,6 +855,7 @@ check(
     """SELECT user_id, term, n, rank, n / sum(n) OVER (PARTITION BY user_id) AS share FROM topics""",
     **_READERS,
 )
+CHECKS["reader_topics_of_text_lists"] = CHECKS["reader_topics"]
 check(
     "reader_study_types",
     f"""SELECT user_id, study_type, n, rank, n / max(n) OVER (PARTITION BY user_id) AS ratio,
@@ -916,7 +990,7 @@ check(
 SELECT id, CAST(greatest(1, ceil(len(regexp_split_to_array(abstract, '\\s+')) / 200)) AS INT) AS minutes,
   CASE WHEN k.pattern IS NULL THEN title
     ELSE regexp_replace(title, concat('(?i)(', k.pattern, ')'), '<mark>\\1</mark>', 'g') END AS marked,
-  concat(authors[1], ' et al.') AS first_author,
+  concat(authors[1], ' et al.') AS first_author, array_to_string(authors, ', ') AS authors,
   concat(array_to_string(authors, ', '), '. ', title, ' ', journal, '. ',
     CAST(coalesce(pub_date, DATE '2000-01-01') AS VARCHAR), '. PMID: ', pmid) AS citation,
   CASE study_type WHEN 'rct' THEN 'Rct' WHEN 'ai_ml' THEN 'Ai Ml' WHEN 'retrospective' THEN 'Retrospective'
@@ -926,7 +1000,7 @@ SELECT id, CAST(greatest(1, ceil(len(regexp_split_to_array(abstract, '\\s+')) /
   concat('https://pubmed.ncbi.nlm.nih.gov/', pmid, '/') AS url,
   CASE WHEN doi <> '' THEN concat('https://doi.org/', doi) END AS doi_url
 FROM papers LEFT JOIN (SELECT paper_id, string_agg(term, '|' ORDER BY ord) AS pattern FROM paper_terms
-  WHERE ord <= 3 GROUP BY paper_id) k ON k.paper_id = id""",
+  GROUP BY paper_id) k ON k.paper_id = id""",
 )
 check(
     "alert_match",

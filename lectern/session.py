@@ -57,10 +57,13 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
 def dropped(*frames: DataFrame) -> None:
     """Delete the files of frames that `staged` gave, once all that was made of them is written."""
     for frame in frames:
-        spark, path = frame.sparkSession, frame.staged_at
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(target, True)
+        remove_path(frame.sparkSession, frame.staged_at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

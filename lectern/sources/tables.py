@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions.text import text_or_array
-from lectern.session import staged
 
 SCHEMAS = {
     "papers": """id bigint, pmid string, title string, abstract string,
@@ -32,10 +31,16 @@ SCHEMAS = {
 }
 
 
+#: Tables that are changed row by row: dealt by a hash of the key to so many folders, so that a
+#: change writes only the folders that hold changed rows.
+DEALT = {"papers": ("id", 64)}
+PART = "_part"
+
+
 def read_table(spark: SparkSession, root: str, name: str, columns=None) -> DataFrame:
     """A stored table, only the columns asked for. `rec_date` is a partition column."""
     table = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
-    return table.select(*columns) if columns else table
+    return table.select(*columns) if columns else table.drop(PART)
 
 
 def one_row(table: DataFrame, key: str, value) -> DataFrame:
@@ -74,11 +79,52 @@ def _as_stored(rows: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     )
 
 
-def append_rows(rows: DataFrame, root: str, name: str) -> None:
-    _as_stored(rows, rows.sparkSession, name).write.mode("append").parquet(f"{root}/{name}")
+def _part_of(name: str, key=None) -> Column:
+    column, parts = DEALT[name]
+    return F.pmod(F.xxhash64(F.col(column) if key is None else key), F.lit(parts)).cast("int")
 
 
-def replace_table(rows: DataFrame, root: str, name: str) -> None:
-    """A new snapshot in place of the old one, which the rows may have been made from."""
-    snapshot = staged(_as_stored(rows, rows.sparkSession, name), name)
-    snapshot.write.mode("overwrite").parquet(f"{root}/{name}")
+def append_rows(rows: DataFrame, root: str, name: str) -> None:
+    out = _as_stored(rows, rows.sparkSession, name)
+    if name in DEALT:
+        out.withColumn(PART, _part_of(name)).write.mode("append").partitionBy(PART).parquet(
+            f"{root}/{name}"
+        )
+    else:
+        out.write.mode("append").parquet(f"{root}/{name}")
+
+
+def replace_parts(rows: DataFrame, path: str, by: str) -> None:
+    """Write `rows` in place of the folders (values of column `by`) that they fall into.
+
+    Other folders stay. New files are moved in when the whole job has been written, so a failure
+    before leaves the table as it was; `rows` may be made from the table itself.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        by
+    ).parquet(path)
+
+
+def patch_rows(changes: DataFrame, root: str, name: str, columns: list[str]) -> None:
+    """Put the non-null fields of `changes` (one row per key) into a dealt table.
+
+    Only folders that hold a changed key are read and written, once.
+    """
+    spark = changes.sparkSession
+    key, _ = DEALT[name]
+    touched = [r[0] for r in changes.select(_part_of(name)).distinct().collect()]
+    stored = spark.read.schema(f"{SCHEMAS[name]}, {PART} int").parquet(f"{root}/{name}")
+    held = stored.where(F.col(PART).isin(touched))
+    replace_parts(patched(held, changes, key, columns), f"{root}/{name}", PART)
+
+
+def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`base` with the non-null fields of `patch` (one row per key) put in."""
+    given = patch.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
+    joined = base.join(given, key, "left")
+    return joined.select(
+        *[
+            F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c)
+            for c in base.columns
+        ]
+    )

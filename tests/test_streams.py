@@ -1,7 +1,9 @@
 from datetime import datetime, timedelta
 
 from lectern.operators.feedback import current_feedback
-from lectern.streaming.dwell import stream_dwell_sessions, write_sessions
+from lectern.streaming.dwell import (
+    close_sessions, stream_dwell_sessions, with_marks, write_sessions,
+)
 from lectern.streaming.feedback import FeedbackState, follow_feedback
 
 T0 = datetime(2024, 1, 1, 12)
@@ -28,6 +30,29 @@ def test_sessions_close_behind_the_watermark(spark, tmp_path):
     assert run() == [("u", 1, 50.0, 2), ("v", 1, 45.0, 2)]
 
 
+def test_a_closing_mark_closes_all_sessions(spark, tmp_path):
+    rows = [("u", 1, 0), ("u", 1, 20), ("v", 1, 600), ("u", 2, 610), (None, 3, 615)]
+    data = [(u, p, T0 + timedelta(seconds=s)) for u, p, s in rows]
+    source = spark.createDataFrame(data, PULSES)
+    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+    marks = str(tmp_path / "marks")
+
+    def run():
+        stream = with_marks(spark.readStream.schema(PULSES).parquet(str(tmp_path / "in")), marks)
+        write_sessions(
+            stream_dwell_sessions(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+        ).awaitTermination()
+        found = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r["user_id"], r["paper_id"], r["seconds"], r["pulses"]) for r in found)
+
+    assert run() == [("u", 1, 50.0, 2)]
+    close_sessions(source, marks)
+    whole = [("u", 1, 50.0, 2), ("u", 2, 30.0, 1), ("v", 1, 30.0, 1)]
+    assert run() == whole
+    close_sessions(source.limit(0), marks)  # nothing to close, no mark
+    assert run() == whole
+
+
 def changes(spark, rows):
     data = [(n, u, p, a, T0 + timedelta(seconds=s)) for n, u, p, a, s in rows]
     return spark.createDataFrame(data, LOG)

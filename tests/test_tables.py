@@ -1,9 +1,11 @@
 import json
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import alerts, audit, digest, enrich, maintain, search_index
+from lectern.operators.counters import RunCounters
 from lectern.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -56,6 +58,85 @@ def test_cascades(spark):
     assert [r["id"] for r in rest.collect()] == ["c1"] and members.count() == 1
 
 
+def test_cascade_walks_the_whole_graph(spark):
+    """A reader's collection goes with the reader, and its members with the collection."""
+    given = {
+        "alerts": spark.createDataFrame([(1, "u"), (2, "v")], "id long, user_id string"),
+        "collection_papers": spark.createDataFrame(
+            [("c1", 1), ("c2", 1), ("c2", 2), ("c3", 2)], "collection_id string, paper_id long"
+        ),
+        "collections": spark.createDataFrame(
+            [("c1", "u"), ("c2", "v"), ("c3", "v")], "id string, user_id string"
+        ),
+        "papers": spark.createDataFrame([(1,), (2,)], "id long"),
+        "recommendations": spark.createDataFrame([("u", 2), ("v", 1), ("v", 2)], "user_id string, paper_id long"),
+        "own": spark.createDataFrame([(1,)], "x long"),
+    }
+    kept = maintain.cascade_delete(
+        given,
+        {
+            "profiles": spark.createDataFrame([("u",)], "id string"),
+            "papers": spark.createDataFrame([(1,)], "id long"),
+            "collections": spark.createDataFrame([("c3",)], "id string"),
+        },
+    )
+    rows = {name: sorted(map(tuple, t.collect())) for name, t in kept.items()}
+    assert rows == {
+        "alerts": [(2, "v")], "collection_papers": [("c2", 2)], "collections": [("c2", "v")],
+        "papers": [(2,)], "recommendations": [("v", 2)], "own": [(1,)],
+    }
+    assert list(kept) == list(given)
+
+
+def test_patch_writes_only_touched_folders(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(200).selectExpr("id", "concat('p', id) AS pmid", "'t' AS title")
+    tables.append_rows(rows, root, "papers")
+    files = lambda: {str(f) for f in (tmp_path / "papers").rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([(7, "rct"), (9, None), (999, "rct")], "id long, study_type string")
+    tables.patch_rows(changes, root, "papers", ["study_type"])
+    after = tables.read_table(spark, root, "papers")
+    assert after.count() == 200 and "_part" not in after.columns
+    assert [r["id"] for r in after.where("study_type IS NOT NULL").collect()] == [7]
+    assert 1 <= len({f.split("/papers/")[1].split("/")[0] for f in before - files()}) <= 3
+    bad = changes.selectExpr("id", "CAST(raise_error('lost') AS STRING) AS study_type")
+    held = files()
+    with pytest.raises(Exception):
+        tables.patch_rows(bad, root, "papers", ["study_type"])
+    assert files() == held  # a failure leaves the table as it was
+
+
+def test_replace_days(spark, tmp_path):
+    path = str(tmp_path / "recs")
+    schema = "user_id string, paper_id long, rec_date date"
+    day = lambda rows: spark.createDataFrame(rows, "user_id string, paper_id long, d string").selectExpr(
+        "user_id", "paper_id", "CAST(d AS DATE) AS rec_date"
+    )
+    read = lambda: {(r[0], str(r[2])) for r in spark.read.schema(schema).parquet(path).collect()}
+    days = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    maintain.replace_days(day([("u", 1, days[0]), ("v", 2, days[1]), ("w", 1, days[2])]), path, days)
+    # the first gets others, the second none, the third is not named and stays
+    maintain.replace_days(day([("x", 1, days[0]), ("y", 1, days[2])]), path, days[:2])
+    assert read() == {("x", days[0]), ("w", days[2])}
+
+
+def test_lists_kept_as_text(spark):
+    rows = [(1, '["a", "b c"]'), (2, "a, b c ,"), (3, None), (4, ""), (5, "[]"), (6, '["x", 2]')]
+    got = tables.normalised(spark.createDataFrame(rows, "id int, k string"), "k")
+    assert {r["id"]: r["k"] for r in got.collect()} == {
+        1: ["a", "b c"], 2: [], 3: [], 4: [], 5: [], 6: ["x", "2"],
+    }
+
+
+def test_counters_count_what_flows_by(spark):
+    counters = RunCounters()
+    rows = counters.count(spark.range(10), "all").where("id > 3")
+    counters.count(rows, "some").write.format("noop").mode("overwrite").save()
+    assert counters.values() == {"all": 10, "some": 6}
+    assert counters.report(spark).first().asDict() == {"all": 10, "some": 6}
+
+
 def test_default_profiles(spark):
     users = spark.createDataFrame(
         [("a", '{"name": "Ann"}'), ("b", "{}"), ("c", None), ("d", "bad"), ("e", "{}")],
@@ -99,7 +180,9 @@ def test_audit(spark):
     watch = spark.createDataFrame([(1, "v", "topic", "k"), (2, "v", "author", None)],
                                   "id long, user_id string, alert_type string, value string")
     got = {(r["table_name"], r["rule"], r["key"], r["n"]) for r in
-           audit.constraint_audit(papers, people, votes, alerts=watch).collect()}
+           audit.constraint_audit(
+               {"papers": papers, "profiles": people, "feedbacks": votes, "alerts": watch}
+           ).collect()}
     assert got == {
         ("papers", "unique(pmid)", "a", 2), ("papers", "not_null(pmid)", "3", 1),
         ("papers", "not_null(title)", "4", 1), ("profiles", "domain(digest_frequency)", "v", 1),
