@@ -66,15 +66,30 @@ def text_key() -> F.Column:
 def only(docs: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows of `docs` named by `winners` (doc_id, text_key), each name once.
 
-    Repeated equal rows count as one document. One shuffle of `docs` by the name; the window
-    that drops repeats reuses it.
+    Rows with one doc_id and one text count as one document; of these the one whose other columns
+    come first as JSON stays. Each row is carried in one column, so no name can clash. One shuffle
+    of `docs` by the name; the window that drops repeats reuses it.
     """
     names = winners.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
-    mine = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    mine = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        text_key().alias("key"),
+        rest.alias("rest"),
+    )
     found = mine.join(
         names.distinct(),
-        F.col("__id").eqNullSafe(F.col("w_id")) & F.col("__key").eqNullSafe(F.col("w_key")),
+        F.col("id").eqNullSafe(F.col("w_id")) & F.col("key").eqNullSafe(F.col("w_key")),
         "left_semi",
     )
-    place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__id"))
-    return found.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("id", "key").orderBy("rest"))
+    return found.withColumn("place", place).filter("place = 1").select("row.*")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores after it until no column of `docs` is called so."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.boosting import Forest, train
-from lectern.llm.common import pieces, raw, reachable, texts
+from lectern.llm.common import free_name, pieces, raw, reachable, texts
 
 #: Most labelled documents that trees are fitted on, chosen by a hash of their id.
 SAMPLE = 20_000
@@ -153,14 +153,14 @@ def scored(docs: DataFrame, model: Forest) -> DataFrame:
 def accepted(docs: DataFrame, model: Forest, take: float = TAKE) -> DataFrame:
     """The rows of `docs`, all columns, with a score of at least `take`."""
     reachable(docs.sparkSession)
-    names = docs.columns
+    names, whole = docs.columns, free_name(docs, "whole_text")
 
     def work(batches):
-        for batch in pieces(batches, "__text"):
-            score = model.probability(statistics(raw(batch.column("__text"))))
+        for batch in pieces(batches, whole):
+            score = model.probability(statistics(raw(batch.column(whole))))
             yield batch.filter(pa.array(score >= take)).select(names)
 
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit("")))
     return rows.mapInArrow(work, docs.schema)
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import pieces, reachable, texts
+from lectern.llm.common import free_name, pieces, reachable, texts
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -256,15 +256,16 @@ def without_secrets(
     reachable(docs.sparkSession)
     models = fit(corpus_counts(docs))
     names, place = docs.columns, docs.columns.index("text")
+    whole = free_name(docs, "whole_text")
 
     def work(batches):
-        for batch in pieces(batches, "__text"):
-            found = batch.column("__text").to_pylist()
+        for batch in pieces(batches, whole):
+            found = batch.column(whole).to_pylist()
             _, spans = all_spans(found, models, least, ratio)
             new = [covered(t, s, mark) for t, s in zip(found, spans)]
             held = batch.column(names[place]).is_null().to_pylist()
             column = pa.array([None if h else t for t, h in zip(new, held)], pa.string())
             yield batch.select(names).set_column(place, names[place], column)
 
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit("")))
     return rows.mapInArrow(work, docs.schema)

@@ -85,6 +85,18 @@ class Spaced:
         return part
 
 
+def special_rule(library) -> re.Pattern | None:
+    """Finds the strings that the library takes for one token wherever they stand.
+
+    Those that it looks for in normalised text are found in either case.
+    """
+    known = sorted(library.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+    parts = [
+        (b"(?i:%s)" if t.normalized else b"(?:%s)") % re.escape(t.content.encode()) for t in known
+    ]
+    return re.compile(b"|".join(parts)) if parts else None
+
+
 class ChunkEncoder:
     """Ids of chunks, as encoded by the library; the first of all is the end id alone."""
 
@@ -93,8 +105,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.rule, self.end = rule, np.array([end_id], np.uint32)
+        self.special = special_rule(self.library)
         self.clear()
 
     def clear(self):
@@ -104,6 +116,17 @@ class ChunkEncoder:
         self.starts = np.zeros(1, np.int64)
         self.sizes = np.ones(1, np.int64)
 
+    def cut(self, text: bytes) -> list:
+        """Chunks of a text; a special string is one of its own, as a tuple."""
+        if self.special is None or not self.special.search(text):
+            return self.rule.cut(text)
+        chunks, at = [], 0
+        for found in self.special.finditer(text):
+            chunks += self.rule.cut(text[at : found.start()])
+            chunks.append((found[0],))
+            at = found.end()
+        return chunks + self.rule.cut(text[at:])
+
     def part(self, part: str) -> list[int]:
         """Ids of a part that the tokenizer does not cut, by the library's model."""
         if part in self.short:
@@ -118,6 +141,10 @@ class ChunkEncoder:
         """Encode chunks that are not known yet."""
         first, lists, slow = len(self.sizes), [], []
         for chunk in chunks:
+            if isinstance(chunk, tuple):
+                special = self.library.encode(chunk[0].decode(), add_special_tokens=False)
+                lists.append(special.ids)
+                continue
             seen = GLANCE.fullmatch(self.rule.spelled(chunk))
             if seen is None:
                 slow.append(len(lists))
@@ -142,7 +169,7 @@ class ChunkEncoder:
         """All ids one after another, the end id after each text, and the ids per text."""
         if len(self.places) > REMEMBER:
             self.clear()
-        chunks = [self.rule.cut(text) for text in texts]
+        chunks = [self.cut(text) for text in texts]
         counts = np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks))
         last = np.cumsum(counts) - 1
         at = np.zeros(int(counts.sum()), np.int64)

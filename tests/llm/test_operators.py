@@ -230,7 +230,6 @@ def test_reduction_loses_nothing():
 def test_packed(odd, none):
     rows = packing.packed(odd, WORD, 1, capacity=64, with_ids=True).collect()
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     want = Counter()
     for r in odd.collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [1]
@@ -281,7 +280,6 @@ def test_round_trip_of_words():
 def test_token_files(odd, none):
     rows = token_files.round_trip(odd, BYTE, 2).orderBy("start").collect()
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     want = Counter()
     for r in odd.collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
@@ -295,7 +293,7 @@ def test_token_files(odd, none):
     assert token_files.round_trip(none, BYTE, 2).count() == 0
 
 
-PARTS = ["The", "word", "é", "ß", ".", "a", " ", "  ", "\n", "\t", " ", "\x1c", "!", "'s", "'",
+PARTS = ["<|startoftext|>", "<|EndOfText|>", "The", "word", "é", "ß", ".", "a", " ", "  ", "\n", "\t", " ", "\x1c", "!", "'s", "'",
          "'re", "'ll", "1", "½", "中", "<|endoftext|>", "　", "​", "😀", "\r\n", "\0", "́"]
 
 
@@ -311,6 +309,44 @@ def test_chunks_encode_as_whole_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
+def test_special_strings_are_single_tokens():
+    from lectern.llm.token_ids import ChunkEncoder, Spaced, Words
+
+    texts = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>x", "<|endoftext"]
+    for path, rule in ((WORD, Words), (BYTE, Spaced)):
+        library = Tokenizer.from_file(path)
+        ids, sizes = ChunkEncoder(path, 1, rule).encode([t.encode() for t in texts])
+        want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert len(want[0]) == 2
+
+
+CLASHING = ["w_id", "w_key", "id", "key", "row", "rest", "place", "whole_text", "__id", "__place", "__text"]
+
+
+def test_stages_with_clashing_columns(spark, odd, known):
+    """Whatever the other columns are called, they come back as they were; ties are settled."""
+    from pyspark.sql import functions as F
+
+    wide = odd.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
+    twice = wide.union(wide.withColumn("w_id", F.lit(-1)))
+    model = quality_classifier.fit(odd, known)
+    for stage in (
+        exact_dedup.without_copies,
+        simhash.without_near_copies,
+        secrets.without_secrets,
+        lambda d: quality_classifier.accepted(d, model, 0.0),
+    ):
+        left = stage(twice)
+        assert left.columns == twice.columns
+        found = left.drop("doc_id", "text").distinct().collect()
+        assert {r["place"] for r in found} == {CLASHING.index("place")}
+        assert {r["w_id"] for r in found} <= {0, -1}
+        assert stage(wide.limit(0)).count() == 0
+    kept = exact_dedup.without_copies(twice)
+    assert {r["w_id"] for r in kept.select("w_id").collect()} == {-1}
+
+
 def test_byte_bpe_as_the_library():
     draw = random.Random(7)
     texts = ["".join(draw.choices(PARTS, k=draw.randint(0, 25))) for _ in range(3000)]
