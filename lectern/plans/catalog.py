@@ -862,7 +862,13 @@ def reader_months(g):
 
 @query
 def reader_totals(g):
-    return insights.reader_totals(g.feedbacks, g.read_history, AS_OF)
+    return insights.reader_totals(g.feedbacks, g.read_history, AS_OF, None)
+
+
+@query
+def reader_totals_of_a_week(g):
+    """With a streak of seven days at most, as a badge shows it."""
+    return insights.reader_totals(g.feedbacks, g.read_history, AS_OF, 7)
 
 
 @query

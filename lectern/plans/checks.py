@@ -891,9 +891,7 @@ SELECT label, CAST(min(week) AS INT) AS start, count(*) AS span, CAST(sum(n) AS
       ON r.week = w.week) a) b
 GROUP BY run, label""",
 )
-check(
-    "reader_totals",
-    f"""
+_TOTALS = f"""
 SELECT m.user_id, m.total, coalesce(l.liked, 0) AS liked, coalesce(s.streak, 0) AS streak
 FROM (SELECT user_id, count(*) AS total FROM met GROUP BY user_id) m
 LEFT JOIN (SELECT user_id, count(*) AS liked FROM feedbacks WHERE action = 'like' GROUP BY user_id) l
@@ -902,7 +900,11 @@ LEFT JOIN (SELECT user_id, CAST(count(*) AS INT) AS streak FROM (
     SELECT user_id, day, day + CAST(row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS INT) AS island
     FROM (SELECT DISTINCT user_id, CAST(clicked_at AS DATE) AS day FROM read_history
           WHERE CAST(clicked_at AS DATE) <= {TODAY}) d) i
-  WHERE island = {TODAY} + 1 GROUP BY user_id) s ON s.user_id = m.user_id""",
+  WHERE island = {TODAY} + 1 GROUP BY user_id) s ON s.user_id = m.user_id"""
+check("reader_totals", _TOTALS, met=_READERS["met"])
+check(
+    "reader_totals_of_a_week",
+    f"SELECT * REPLACE (least(streak, 7) AS streak) FROM ({_TOTALS}) t",
     met=_READERS["met"],
 )
 check(
