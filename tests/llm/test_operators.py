@@ -173,6 +173,65 @@ def test_markov_finds_random_strings(spark):
     assert found[99]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def plain_base_spans(text):
+    """The three rules, each by a loop over all starts."""
+    assign = re.compile(
+        r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
+    )
+    found = []
+    for kind, rule, least, group in (
+        ("assign", assign, 12, 1),
+        ("access", re.compile("(AKIA[A-Z0-9]+)"), 18, 1),
+        ("hex", re.compile("([0-9a-f]+)"), 16, 1),
+    ):
+        at = 0
+        while at < len(text):
+            m = rule.match(text, at)
+            if m and len(m[group]) >= least:
+                found.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+            at = m.end() if m else at + 1
+    return [(s, e, k) for s, _, e, k in sorted(found)]
+
+
+def test_base_columns_of_odd_rows(odd):
+    got = Counter()
+    for r in secrets.secrets(odd).collect():
+        got[(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"])] += 1
+    want = Counter()
+    for r in odd.collect():
+        spans = plain_base_spans(r["text"] or "")
+        n = [sum(k == kind for _, _, k in spans) for kind in ("assign", "access", "hex")]
+        said = ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+        want[(r["doc_id"], *n, hashlib.sha256(said.encode()).hexdigest())] += 1
+    assert got == want
+
+
+def test_base_rules_on_random_texts():
+    draw = random.Random(4)
+    parts = ["token", "API_key", "Secret", " ", ":", "=", '"', "AKIA", "ABCDEF0123456789", "abc", "0123456789abcdef", "-", "é"]
+    for _ in range(3000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 14)))
+        assert secrets.base_spans(text) == plain_base_spans(text)
+
+
+@pytest.mark.parametrize("documents", [60, 600])
+def test_random_strings_are_told_from_names(spark, documents):
+    """At least nine of ten random strings of 16 or more characters, at two sizes of corpus."""
+    draw = random.Random(3)
+    docs = spark.createDataFrame(
+        [(k, " ".join(words(draw, 200))) for k in range(documents)], "doc_id long, text string"
+    )
+    models = secrets.fit(secrets.corpus_counts(docs))
+    letters = secrets.ALPHABET[:52]
+    for alphabet in (secrets.ALPHABET[:62], letters, secrets.ALPHABET[:62] + "-_"):
+        for size in (16, 20, 32):
+            some = ["".join(draw.choices(alphabet, k=size)) for _ in range(300)]
+            assert (models.score(some) >= secrets.TOTAL).mean() >= 0.9
+    names = ["well-known-thing", "internationalisation2024", "192.168.100.200", "2024-01-30T10",
+             "get-item-by-identifier", "os.path.join.name", "".join(words(draw, 6)), "4539578763621486"]
+    assert (models.score(names) < secrets.TOTAL).all()
+
+
 def test_labelled_samples(spark):
     rows = [("abab", 0), ("zz9", 1), (None, 1), ("é", 0)]
     counts = secrets.pair_counts(spark.createDataFrame(rows, "value string, label int"))
