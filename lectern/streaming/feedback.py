@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.operators.feedback import latest_change
-from lectern.session import path_exists
+from lectern.session import path_exists, remove_path
 
 COLUMNS = ["user_id", "paper_id", "action", "ts", "event_id"]
 
@@ -17,7 +17,7 @@ class FeedbackState:
     follows the batch and not the state. Every `merge_every` batches base and batches are
     merged into a new base. A batch that is run again after a failure overwrites its own
     folders with the same rows. Removed rows stay as `none`, so that a late older change
-    cannot bring them back.
+    cannot bring them back. Folders that the base before the newest holds are removed.
     """
 
     def __init__(self, spark: SparkSession, root: str, changes_schema, merge_every: int = 20):
@@ -65,6 +65,20 @@ class FeedbackState:
             merged = self.last_changes(number)
             if number not in self._complete("base"):
                 merged.write.mode("overwrite").parquet(self._folder("base", number))
+                self._forget(number)
+
+    def _forget(self, newest: int) -> None:
+        """Remove what the base before the newest holds already.
+
+        That base stays, so a reader that began before the newest one was complete still has all
+        its folders, and no batch that may be run again is older.
+        """
+        older = [n for n in self._complete("base") if n < newest]
+        if older:
+            for kind, upto in (("base", older[-1] - 1), ("batch", older[-1])):
+                for n in self._complete(kind):
+                    if n <= upto:
+                        remove_path(self.spark, self._folder(kind, n))
 
     def current(self) -> DataFrame:
         return (

@@ -89,3 +89,11 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
         state.apply(second, 1)
         assert pairs(state.current()) == {("u", 1): "dislike", ("v", 1): "like"}
     assert state._complete("base") == [1]
+
+
+def test_old_folders_are_removed(spark, tmp_path):
+    state = FeedbackState(spark, str(tmp_path / "s"), changes(spark, [(0, "u", 0, "like", 0)]).schema, merge_every=2)
+    for n in range(7):
+        state.apply(changes(spark, [(n, "u", n, "like", n)]), n)
+    assert state._complete("base") == [3, 5] and state._complete("batch") == [4, 5, 6]
+    assert pairs(state.current()) == {("u", n): "like" for n in range(7)}
