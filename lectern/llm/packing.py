@@ -24,7 +24,7 @@ from lectern.session import staged
 
 CAPACITY = 4096
 #: Pieces of one length that are ranked together.
-SPREAD = 4096
+SPREAD = 512
 
 
 @dataclass
