@@ -13,6 +13,8 @@ import numpy as np
 
 #: Distinct chunks a worker remembers; beyond it starts anew, which changes speed only.
 REMEMBER = 800_000
+#: Parts of chunks that are remembered while new chunks are encoded.
+REMEMBER_PARTS = 60_000
 
 #: Bytes of characters that some tables count as white space and `bytes.split` does not.
 RARE = (
@@ -106,12 +108,13 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.rule, self.end = rule, np.array([end_id], np.uint32)
+        self.tokenize = self.library.model.tokenize
         self.special = special_rule(self.library)
         self.clear()
 
     def clear(self):
         self.places: dict = {}
-        self.short: dict[str, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = self.end.copy()
         self.starts = np.zeros(1, np.int64)
         self.sizes = np.ones(1, np.int64)
@@ -129,33 +132,42 @@ class ChunkEncoder:
 
     def part(self, part: str) -> list[int]:
         """Ids of a part that the tokenizer does not cut, by the library's model."""
-        if part in self.short:
-            return self.short[part]
-        letters = self.rule.plain(part).encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [token.id for token in self.library.model.tokenize(letters)]
-        if len(part) <= 2:
-            self.short[part] = ids
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = self.rule.plain(part)
+            if letters.isascii():  # visible signs stand for themselves
+                letters = letters.replace(" ", BYTE_LETTERS[32]).replace("\n", BYTE_LETTERS[10])
+            else:
+                letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.parts[part] = [token.id for token in self.tokenize(letters)]
         return ids
 
     def learn(self, chunks: list):
         """Encode chunks that are not known yet."""
+        if len(self.parts) > REMEMBER_PARTS:
+            self.parts = {}
         first, lists, slow = len(self.sizes), [], []
+        spell, glance, part_ids = self.rule.spelled, GLANCE.fullmatch, self.part
         for chunk in chunks:
-            if isinstance(chunk, tuple):
-                special = self.library.encode(chunk[0].decode(), add_special_tokens=False)
-                lists.append(special.ids)
-                continue
-            seen = GLANCE.fullmatch(self.rule.spelled(chunk))
+            seen = None if isinstance(chunk, tuple) else glance(spell(chunk))
             if seen is None:
                 slow.append(len(lists))
                 lists.append(())
-            else:
-                ids: list[int] = []
-                for part in seen.groups():
-                    if part and (self.rule.keeps_blanks or part != "\n"):
-                        ids += self.part(part)
-                lists.append(ids)
-        spelled = [self.rule.spelled(chunks[k]) for k in slow]
+                continue
+            word, marks, line, start, more = seen.groups()
+            ids = part_ids(word)
+            if marks:
+                ids = ids + part_ids(marks)
+            if line:
+                ids = ids + part_ids(line) if self.rule.keeps_blanks else ids
+                ids = ids + part_ids(start)
+                if more:
+                    ids = ids + part_ids(more)
+            lists.append(ids)
+        spelled = [
+            chunk[0].decode() if isinstance(chunk, tuple) else spell(chunk)
+            for chunk in (chunks[k] for k in slow)
+        ]
         for k, e in zip(slow, self.library.encode_batch(spelled, add_special_tokens=False)):
             lists[k] = e.ids
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
