@@ -65,13 +65,13 @@ def has_whole_word(text: Column, literal: Column) -> Column:
     """True when the literal stands between word boundaries.
 
     An occurrence of a literal of word characters alone overlaps no other one, so such literals
-    are replaced by one sign and the sign is looked for; a pattern of its own for each row is
-    built for the others only.
+    are replaced by one sign, which counts as a word character, and a sign that stands alone is
+    looked for; a pattern of its own for each row is built for the others only.
     """
     sign = F.lit("\u0001")
     marked = F.replace(F.replace(text, sign, F.lit(" ")), literal, sign)
     plain = literal.rlike(r"^\w+$")
-    alone = marked.rlike(r"\x01(?!\w)(?<!\w\x01)")
+    alone = marked.rlike(r"\x01(?![\w\x01])(?<![\w\x01]\x01)")
     return F.when(plain, alone).otherwise(F.rlike(text, whole_word_pattern(literal)))
 
 

@@ -109,3 +109,12 @@ def test_normalised_keeps_arrays(spark):
 
     df = spark.createDataFrame([(["x"], '["y"]')], "a array<string>, b string")
     assert normalised(df, "a", "b").first().asDict() == {"a": ["x"], "b": ["y"]}
+
+
+@pytest.mark.parametrize(
+    "given, literal, expected",
+    [("zzzz", "zz", False), ("zz zz", "zz", True), ("a psa.", "psa", True), ("apsa psab", "psa", False),
+     ("x\u0001psa", "psa", True), ("a-a-a", "a-a", True), ("é psa", "psa", True), ("psapsa psa", "psa", True)],
+)
+def test_whole_word(value, given, literal, expected):
+    assert value(text.has_whole_word(L(given), L(literal))) is expected
