@@ -21,10 +21,12 @@ def search_postings(papers: DataFrame) -> DataFrame:
     """(paper, term, weight) with all positions, in order.
 
     Positions count every word, stop words included; those of the abstract go on after the
-    title's last indexed word. Words are not stemmed.
+    title's last indexed word. Words are not stemmed. Texts are dealt by paper before they are
+    cut, so that the words of a paper are grouped where they are made and not shuffled.
     """
-    split = papers.select(
-        F.col("id").alias("paper_id"),
+    texts = papers.select(F.col("id").alias("paper_id"), "title", "abstract").repartition("paper_id")
+    split = texts.select(
+        "paper_id",
         _words(F.col("title")).alias("title_words"),
         _words(F.col("abstract")).alias("abstract_words"),
     ).withColumn("shift", _last_indexed(F.col("title_words")))
