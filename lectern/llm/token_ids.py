@@ -10,6 +10,8 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct chunks a worker remembers; beyond it starts anew, which changes speed only.
 REMEMBER = 800_000
@@ -45,6 +47,11 @@ class Words:
 
     keeps_blanks = False
 
+    @staticmethod
+    def by_spaces(text: bytes) -> bool:
+        """Whether the chunks are what lies between single spaces, but for the first."""
+        return False
+
     @staticmethod
     def cut(text: bytes) -> list:
         return text.split()
@@ -67,9 +74,13 @@ class Spaced:
 
     keeps_blanks = True
 
+    @staticmethod
+    def by_spaces(text: bytes) -> bool:
+        return b"  " not in text and not any(rare in text for rare in RARE)
+
     @staticmethod
     def cut(text: bytes) -> list:
-        if b"  " in text or any(rare in text for rare in RARE):
+        if not Spaced.by_spaces(text):
             return [part for part in CAREFUL.split(text.decode()) if part]
         chunks = text.split(b" ")
         first = chunks[0].decode()
@@ -119,6 +130,12 @@ class ChunkEncoder:
         self.starts = np.zeros(1, np.int64)
         self.sizes = np.ones(1, np.int64)
 
+    def simple(self, text: bytes) -> bool:
+        """Whether it holds no special string and is cut by single spaces."""
+        if not self.rule.by_spaces(text):
+            return False
+        return self.special is None or not self.special.search(text)
+
     def cut(self, text: bytes) -> list:
         """Chunks of a text; a special string is one of its own, as a tuple."""
         if self.special is None or not self.special.search(text):
@@ -142,12 +159,22 @@ class ChunkEncoder:
             ids = self.parts[part] = [token.id for token in self.tokenize(letters)]
         return ids
 
+    def word(self, word: str) -> list[int]:
+        """Ids of a word, from where it was a chunk of its own if it was."""
+        if word not in self.parts and self.rule.keeps_blanks:
+            place = self.places.get(word[1:].encode() if word[0] == " " else word)
+            if place is not None:
+                start = self.starts[place]
+                return self.ids[start : start + self.sizes[place]].tolist()
+        return self.part(word)
+
     def learn(self, chunks: list):
         """Encode chunks that are not known yet."""
         if len(self.parts) > REMEMBER_PARTS:
             self.parts = {}
         first, lists, slow = len(self.sizes), [], []
         spell, glance, part_ids = self.rule.spelled, GLANCE.fullmatch, self.part
+        word_ids = self.word
         for chunk in chunks:
             seen = None if isinstance(chunk, tuple) else glance(spell(chunk))
             if seen is None:
@@ -155,12 +182,12 @@ class ChunkEncoder:
                 lists.append(())
                 continue
             word, marks, line, start, more = seen.groups()
-            ids = part_ids(word)
+            ids = word_ids(word) if marks or line else part_ids(word)
             if marks:
                 ids = ids + part_ids(marks)
             if line:
                 ids = ids + part_ids(line) if self.rule.keeps_blanks else ids
-                ids = ids + part_ids(start)
+                ids = ids + word_ids(start)
                 if more:
                     ids = ids + part_ids(more)
             lists.append(ids)
@@ -177,24 +204,63 @@ class ChunkEncoder:
         self.ids = np.concatenate([self.ids, flat])
         self.places.update(zip(chunks, range(first, first + len(chunks))))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, the end id after each text, and the ids per text."""
-        if len(self.places) > REMEMBER:
-            self.clear()
-        chunks = [self.cut(text) for text in texts]
-        counts = np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks))
-        last = np.cumsum(counts) - 1
-        at = np.zeros(int(counts.sum()), np.int64)
-        inner = np.ones(len(at), bool)
-        inner[last] = False
-        flat = list(chain.from_iterable(chunks))
-        found = np.fromiter(map(self.places.get, flat, repeat(-1)), np.int64, len(flat))
+    def known(self, chunks: list) -> np.ndarray:
+        """The places of chunks; those not known yet are learnt."""
+        found = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new = [flat[k] for k in missing.tolist()]
+            new = [chunks[k] for k in missing.tolist()]
             self.learn(list(dict.fromkeys(new)))
             found[missing] = np.fromiter(map(self.places.get, new), np.int64, len(new))
-        at[inner] = found
+        return found
+
+    def cut_known(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all chunks, chunks per text)."""
+        chunks = [self.cut(text) for text in texts]
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        return self.known(list(chain.from_iterable(chunks))), counts
+
+    def split_known(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """`cut_known` of texts cut by single spaces: each distinct chunk is looked up once."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        index, values = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
+        whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        chunks = pc.binary_join(whole, b" ")[0].as_py().split(b" ")
+        later = np.ones(len(index), bool)
+        later[offsets[:-1]] = False
+        used = np.zeros(len(chunks), bool)
+        used[index[later]] = True
+        used = np.flatnonzero(used)
+        place = np.full(len(chunks), -1)
+        place[used] = self.known([chunks[k] for k in used.tolist()])
+        at = place[index]
+        # a text's first chunk has no space before it; an empty one is none
+        first = [chunks[k].decode() for k in index[offsets[:-1]].tolist()]
+        real = np.fromiter(map(bool, first), bool, len(first))
+        at[offsets[:-1][real]] = self.known([chunk for chunk in first if chunk])
+        later[offsets[:-1][real]] = True
+        return at[later], np.diff(offsets) - ~real
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, the end id after each text, and the ids per text."""
+        if len(self.places) > REMEMBER:
+            self.clear()
+        simple = np.fromiter(map(self.simple, texts), bool, len(texts))
+        counts = np.zeros(len(texts), np.int64)
+        found = []
+        for mask, places in ((simple, self.split_known), (~simple, self.cut_known)):
+            mine = np.flatnonzero(mask)
+            if len(mine):
+                at, counts[mine] = places([texts[k] for k in mine.tolist()])
+                found.append((mine, at))
+        last = np.cumsum(counts + 1) - 1
+        at = np.zeros(int(last[-1]) + 1 if len(last) else 0, np.int64)
+        for mine, places in found:
+            size = counts[mine]
+            shift = last[mine] - size - (np.cumsum(size) - size)
+            at[np.arange(len(places)) + np.repeat(shift, size)] = places
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         place = np.repeat(self.starts[at] - (ends - sizes), sizes)

@@ -368,6 +368,25 @@ def test_chunks_encode_as_whole_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
+def test_a_chunk_is_looked_up_once_for_a_batch():
+    from lectern.llm.token_ids import ChunkEncoder, Spaced
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    coder = ChunkEncoder(BYTE, 2, Spaced)
+    coder.places = Counting()
+    texts = ["one two, two\nthree " * 300, "", " two", "one  two", "two<|endoftext|> two ", "one two"] * 3
+    ids, sizes = coder.encode([t.encode() for t in texts])
+    assert coder.places.asked < 100
+    want = [e.ids + [2] for e in coder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_special_strings_are_single_tokens():
     from lectern.llm.token_ids import ChunkEncoder, Spaced, Words
 
