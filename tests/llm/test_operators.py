@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -675,6 +676,93 @@ def test_passages_recall(spark, every, least):
     assert len(found) >= least * len(true)
 
 
+def test_alignments_do_not_depend_on_the_batch():
+    draw = random.Random(15)
+    drawn = lambda n: [draw.randrange(10**6) for _ in range(n)]
+    pairs = []
+    for k in range(40):
+        left, middle, right = drawn(60), drawn(20), drawn(60)
+        a, b = left + middle + right, left + right + drawn(19 - 9 * (k % 3))
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32), 0))
+    pairs.append((np.array(drawn(300) + [1, 2], np.uint32), np.array([1, 2], np.uint32), 0))
+    alone = [passages.align([p])[0] for p in pairs]
+    assert passages.align(pairs) == alone
+    some = [p is not None and p[1] - p[0] >= 50 and p[4] >= 0.8 for p in alone]
+    bounded = passages.align(pairs, enough=20)
+    assert any(some) and [p for p, s in zip(bounded, some) if s] == [
+        p for p, s in zip(alone, some) if s
+    ]
+
+
+def test_scores_are_bounded():
+    draw = random.Random(16)
+    for _ in range(50):
+        pairs = [
+            tuple(
+                np.array([draw.randrange(9) for _ in range(draw.randint(1, 40))], np.uint32)
+                for _ in "ab"
+            )
+            for _ in range(6)
+        ]
+        most = passages.most_score(pairs, 2.0)
+        assert (most >= passages._ends(pairs, 2.0)[:, 0]).all()
+
+
+def test_links_of_many_holders(monkeypatch):
+    """Against plain lists; keys of many holders come in parts, in batches of any size."""
+    monkeypatch.setattr(passages, "MANY", 12)
+    draw = random.Random(17)
+    for size in (3, 7, 100):
+        rows = sorted((draw.choice((4, 4, 4, 6, 7, 8)), draw.randrange(40), k) for k in range(90))
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in zip(*rows[at : at + size])],
+                names=["seed", "doc_id", "place"],
+            )
+            for at in range(0, len(rows), size)
+        ]
+        found = []
+        for lead, _, sizes, docs, places in passages.unpacked(
+            passages.holders(iter(batches), "seed", "place")
+        ):
+            part = passages.link_rows(docs, places, places, *passages.links(sizes, lead))
+            found += zip(*(part.column(c).to_pylist() for c in ("a", "b", "at")))
+        true = []
+        for key in (4, 6, 7, 8):
+            held = [r[1:] for r in rows if r[0] == key]
+            for n, (b, y) in enumerate(held):
+                near = [(*held[m], 1) for m in range(max(1, n - passages.BEFORE), n)]
+                for a, x, last in ([(*held[0], 0)] if n else []) + near:
+                    if a != b:
+                        true.append((a, b, x << 32 | y << 1 | last))
+        assert sorted(found) == sorted(true)
+
+
+def test_chains_of_links(spark):
+    """Chains of many pairs at once, against those of each pair alone."""
+    draw = random.Random(18)
+    rows = {}
+    for a in range(30):
+        for b in range(100, 104):
+            for _ in range(draw.randint(1, 9)):
+                x = draw.randrange(150)
+                y = x + draw.choice((0, 0, 0, 0, 7)) if a % 3 else draw.randrange(150)
+                rows[a, b, x, y] = draw.random() < 0.5
+    links = [(a, b, x << 32 | y << 1 | (not star)) for (a, b, x, y), star in rows.items()]
+    links += [(a, b, at | 1) for a, b, at in links]
+    true = set()
+    for a, b in {k[:2] for k in rows}:
+        places = sorted(k[2:] for k in rows if k[:2] == (a, b))
+        for x0, x1, y0, y1, n in passages.chains(*map(list, zip(*places))):
+            inside = [rows[a, b, x, y] for x, y in places if x0 <= x <= x1 and y0 <= y <= y1]
+            if n > 1:
+                end = passages.SEED
+                true.add((a, b, x0, x1 + end, y0, y1 + end, n, sum(inside) > 1))
+    found = passages.chained(spark.createDataFrame(links, passages.LINKED))
+    kept = found.drop("a_low", "a_high", "b_low", "b_high").collect()
+    assert {tuple(r) for r in kept} == true and len(kept) == len(true)
+
+
 # pipeline
 
 
