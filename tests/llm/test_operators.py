@@ -676,36 +676,35 @@ def test_passages_recall(spark, every, least):
     assert len(found) >= least * len(true)
 
 
-def test_alignments_do_not_depend_on_the_batch():
+def test_alignments_side_by_side():
+    """Pairs of all lengths together, against the table of each pair; weak ones may be left out."""
+
+    def score(a, b, band):
+        best, row = 0, {}
+        for i in range(len(a)):
+            new = {}
+            for j in range(max(0, i - band), min(len(b), i + band + 1)):
+                hit = row.get(j - 1, 0) + (1 if a[i] == b[j] else -2)
+                new[j] = max(0, hit, row.get(j, 0) - 2, new.get(j - 1, 0) - 2)
+            row = new
+            best = max(best, *row.values()) if row else best
+        return best
+
     draw = random.Random(15)
-    drawn = lambda n: [draw.randrange(10**6) for _ in range(n)]
+    drawn = lambda n, of=10**6: [draw.randrange(of) for _ in range(n)]
     pairs = []
-    for k in range(40):
-        left, middle, right = drawn(60), drawn(20), drawn(60)
-        a, b = left + middle + right, left + right + drawn(19 - 9 * (k % 3))
-        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32), 0))
-    pairs.append((np.array(drawn(300) + [1, 2], np.uint32), np.array([1, 2], np.uint32), 0))
-    alone = [passages.align([p])[0] for p in pairs]
-    assert passages.align(pairs) == alone
-    some = [p is not None and p[1] - p[0] >= 50 and p[4] >= 0.8 for p in alone]
-    bounded = passages.align(pairs, enough=20)
-    assert any(some) and [p for p, s in zip(bounded, some) if s] == [
-        p for p, s in zip(alone, some) if s
-    ]
-
-
-def test_scores_are_bounded():
-    draw = random.Random(16)
-    for _ in range(50):
-        pairs = [
-            tuple(
-                np.array([draw.randrange(9) for _ in range(draw.randint(1, 40))], np.uint32)
-                for _ in "ab"
-            )
-            for _ in range(6)
-        ]
-        most = passages.most_score(pairs, 2.0)
-        assert (most >= passages._ends(pairs, 2.0)[:, 0]).all()
+    for k in range(60):
+        left, right = drawn(30 + 3 * k, 400), drawn(30, 400)
+        a, b = left + drawn(k % 9) + right, left + right + drawn(k % 7)
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+    pairs.append((np.array(drawn(300) + [1, 2], np.uint32), np.array([1, 2], np.uint32)))
+    bands = np.array([20 + 70 * (k % 5 == 0) for k in range(len(pairs))])
+    true = [score(a.tolist(), b.tolist(), band) for (a, b), band in zip(pairs, bands.tolist())]
+    assert passages._ends(pairs, bands, 2.0)[:, 0].tolist() == true
+    every = passages.align([(*p, 0) for p in pairs])
+    strong = passages.align([(*p, 0) for p in pairs], enough=100)
+    assert 0 < sum(p is not None for p in strong) < len(pairs)
+    assert all(s is None or s == p for p, s in zip(every, strong))
 
 
 def test_links_of_many_holders(monkeypatch):
