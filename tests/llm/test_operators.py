@@ -656,6 +656,51 @@ def test_passages_with_frequent_fragments(spark):
     assert (31, 30) in found and {(62, 30), (62, 31)} & found
 
 
+def test_passages_of_any_earlier_holder(spark):
+    """A line that 40 documents hold is all that two of them share word by word: neither the first
+    holder nor one of the four before has the passage around it."""
+    draw = random.Random(19)
+    line = words(draw, 16)
+    passage = words(draw, 20) + line + words(draw, 20)
+    copy = [w if 20 <= k < 36 or k % 4 else f"new{k}" for k, w in enumerate(passage)]
+    rows = [around(draw, line) for _ in range(40)]
+    rows[12], rows[30] = around(draw, passage), around(draw, copy)
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r for r in passages.repeated_passages(docs).collect()]
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(30, 12)}
+    assert all(r["end"] - r["start"] >= 50 and r["likeness"] >= 0.8 for r in found)
+
+
+def test_alike_against_all_pairs(monkeypatch):
+    """Pieces in common, repeated ones as often as both have them, against counters of each pair."""
+    monkeypatch.setattr(passages, "PAIRS", 50)
+    draw = random.Random(20)
+    for least in (1, 3, 8, 70):
+        seed = np.sort([draw.randrange(4) for _ in range(60)])
+        doc = np.array([draw.randrange(50) for _ in seed])
+        free = np.array([draw.random() < 0.6 for _ in seed])
+        held = [[draw.choice((1, 2, 3, draw.randrange(40))) for _ in range(draw.randrange(2 * least + 9))] for _ in seed]
+        packed = [np.array(h, "<u4").tobytes() for h in held]
+        true = {}
+        for j in range(len(seed)):
+            for i in range(j):
+                same = (Counter(held[i]) & Counter(held[j])).total()
+                if seed[i] == seed[j] and doc[i] != doc[j] and free[j] and same >= least:
+                    true[i, j] = same
+        found = [p for x in passages.alike(seed, doc, free, packed, least, False) for p in zip(*map(np.ndarray.tolist, x))]
+        assert sorted(found) == sorted(true)
+        far = {}
+        for i, j in true:
+            at = [[k for k, t in enumerate(held[x]) if t in held[y]] for x, y in ((i, j), (j, i))]
+            far[i, j] = min(x[-1] - x[0] for x in at) + passages.PIECE
+        wide = [p for x in passages.alike(seed, doc, free, packed, least, False, 9) for p in zip(*map(np.ndarray.tolist, x))]
+        assert sorted(wide) == sorted(p for p in true if far[p] >= 9)
+        best = [p for x in passages.alike(seed, doc, free, packed, least, True) for p in zip(*map(np.ndarray.tolist, x))]
+        most = {j: min((-n, i) for (i, k), n in true.items() if k == j)[1] for _, j in true}
+        assert {j: i for i, j in best} == most and len(best) == len(most)
+
+
 @pytest.mark.parametrize("every, least", [(5, 0.8), (6, 0.9), (10, 0.99), (20, 0.99)])
 def test_passages_recall(spark, every, least):
     """Against the alignment of the whole texts."""
